@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, quality, secrets, spm, tokcount
+from . import ann, chat, langid, lmscore, mixing, ngram_join, quality, secrets, spm, tokcount
 from .common import crc_mod, table
 
 
@@ -54,13 +54,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.attach(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = crc_mod("doc_id", 7) != 2
+    got = lmscore.score(table(spark, sf_dir, "documents"), train)
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scans, op3_nearest_neighbours, op4_sentencepiece, op5_chat_formatting, op6_token_counts, op7_language_id, op9_mixing)
+    for f in (
+        op1_quality_rules, op2_secret_scans, op3_nearest_neighbours, op4_sentencepiece, op5_chat_formatting,
+        op6_token_counts, op7_language_id, op8_lm_scoring, op9_mixing, op10_ngram_join,
+    )
 }
 
 ORACLE_SQL = {
