@@ -127,7 +127,7 @@ def block_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _list(key, t: pa.Table) -> pa.Table:
+def _list(key, t):
     """The distinct words of a block, with how often its training documents hold them."""
     n: Counter = Counter()
     seen: set[bytes] = set()
