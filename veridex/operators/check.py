@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import caveats
 from ..functions.cel import FALSE, OPEN, TRUE
-from ..functions.kleene import all_of, any_of, k_and, k_not, k_or, missing_of, union_missing, verdict
+from ..functions.kleene import UNKNOWN, all_of, any_of, k_and, missing_of, union_missing, verdict
 from ..plans.compile import Plan, compile_schema, plan_rows
 from ..plans.schema import ELLIPSIS, WILDCARD, Schema
 from ..sources.tuples import live
@@ -50,38 +50,38 @@ def reachable_plans(plans: dict[tuple[str, str], Plan], schema: Schema, start: s
     return found
 
 
-def _value(plan: Plan, leaves: Column) -> tuple[Column, Column]:
-    """code and missing names of a permission from its leaves, a map of number to (code, missing)."""
+def _value(plan: Plan) -> tuple[str, str]:
+    """SQL for code and missing names of a permission from ``leaves``, a map of number to (code, missing)."""
 
-    def walk(e) -> tuple[Column, Column]:
-        none = F.array().cast("array<string>")
+    def walk(e) -> tuple[str, list[str]]:
         if e[0] == "nil":
-            return F.lit(FALSE), none
+            return str(FALSE), []
         if e[0] == "leaf":
-            x = F.element_at(leaves, F.lit(e[1]))
-            return F.coalesce(x["code"], F.lit(FALSE)), F.coalesce(x["missing"], none)
+            return f"coalesce(leaves[{e[1]}].code, {FALSE})", [f"coalesce(leaves[{e[1]}].missing, cast(array() as array<string>))"]
         parts = [walk(p) for p in e[1]]
+        codes = [c for c, _ in parts]
         if e[0] == "exclusion":
-            code = k_and(parts[0][0], k_not(parts[1][0]))
+            codes[1:] = [f"element_at(array({TRUE}, {UNKNOWN}, {OPEN}, {FALSE}), 1 + {c})" for c in codes[1:]]
+        if e[0] == "union":
+            code = f"greatest({', '.join(codes)})"
         else:
-            code = (k_or if e[0] == "union" else k_and)(*(c for c, _ in parts))
-        return code, union_missing(*(m for _, m in parts))
+            swap = f"element_at(array({FALSE}, {OPEN}, {UNKNOWN}, {TRUE}), 1 + "
+            code = f"{swap}least({', '.join(f'{swap}{c})' for c in codes)}))"
+        return code, [m for _, ms in parts for m in ms]
 
-    return walk(plan.expr)
+    code, names = walk(plan.expr)
+    return code, f"array_sort(array_distinct(concat({', '.join(names)})))" if names else "cast(array() as array<string>)"
 
 
-def _by_plan(plans: dict[tuple[str, str], Plan], leaves: Column, caveats_too: bool) -> tuple[Column, Column]:
+def _by_plan(plans: dict[tuple[str, str], Plan], caveats_too: bool) -> tuple[Column, Column]:
     """code and missing names by the node's own type and relation; without caveats nothing can be missing."""
-    none = F.array().cast("array<string>")
-    code = missing = None
-    for (t, r), plan in plans.items():
-        c, m = _value(plan, leaves)
-        mine = (F.col("rt") == t) & (F.col("rel") == r)
-        code = F.when(mine, c) if code is None else code.when(mine, c)
-        missing = F.when(mine, m) if missing is None else missing.when(mine, m)
-    if code is None:
-        return F.lit(FALSE), none
-    return code.otherwise(F.lit(FALSE)), missing.otherwise(none) if caveats_too else none
+    none = "cast(array() as array<string>)"
+    if not plans:
+        return F.lit(FALSE), F.expr(none)
+    got = {f"rt = '{t}' and rel = '{r}'": _value(p) for (t, r), p in plans.items()}
+    code = " ".join(f"when {k} then {c}" for k, (c, _) in got.items())
+    missing = " ".join(f"when {k} then {m}" for k, (_, m) in got.items())
+    return F.expr(f"case {code} else {FALSE} end"), F.expr(f"case {missing} else {none} end" if caveats_too else none)
 
 
 def bulk_check(edges: DataFrame, schema: Schema, items: DataFrame, now: str | None = None) -> DataFrame:
@@ -193,8 +193,7 @@ def _resolve(nodes: DataFrame, given: DataFrame, values: DataFrame | None, plans
     leaf = F.struct(F.when(F.col("kind") == "all", F.col("c_all")).otherwise(F.col("c_any")).alias("code"), "missing")
     per = folded.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("leaf", leaf.alias("v")))).alias("leaves"), F.min("err").alias("err"), F.max("height").alias("height"))
     per = nodes.join(per, list(NODE), "left")
-    empty = F.coalesce("leaves", F.expr("cast(map() as map<int, struct<code: int, missing: array<string>>>)"))
-    code, missing = _by_plan(plans, empty, caveats_too)
+    code, missing = _by_plan(plans, caveats_too)
     out = per.select(*NODE, code.alias("code"), missing.alias("missing"), "err", F.coalesce("height", F.lit(0)).alias("height"))
     return out.select(*NODE, "code", F.when(F.col("code") == 1, F.col("missing")).otherwise(none).alias("missing"), F.when(F.col("code") == OPEN, F.col("err")).alias("err"), "height")
 
@@ -202,20 +201,20 @@ def _resolve(nodes: DataFrame, given: DataFrame, values: DataFrame | None, plans
 def evaluate(edges: DataFrame, schema: Schema, plans: dict[tuple[str, str], Plan], nodes: DataFrame, now: str | None = None) -> DataFrame:
     """Values of all sub-problems that the given ones lead to."""
     levels, given = ground(edges, schema, plans, nodes, now)
-    done: DataFrame | None = None
-    open_before = None
+    too = bool(schema.caveats)
+    values: list[DataFrame] = []
+    for nodes_i, given_i in zip(reversed(levels), reversed(given)):
+        known = reduce(DataFrame.unionByName, values) if values else None
+        values.append(settle(_resolve(nodes_i, given_i, known, plans, too)))
+    done = reduce(DataFrame.unionByName, values)
+    # What waits for a sub-problem of its own or an earlier level is resolved in rounds over all of it.
+    all_given, before = reduce(DataFrame.unionByName, given), None
     for _ in range(MAX_DEPTH):
-        values: list[DataFrame] = []
-        for nodes_i, given_i in zip(reversed(levels), reversed(given)):
-            known = reduce(DataFrame.unionByName, values) if values else None
-            if done is not None:
-                # what this sweep has not reached yet keeps the value of the last one
-                known = done if known is None else known.unionByName(done.join(known.select(*NODE), list(NODE), "left_anti"))
-            values.append(settle(_resolve(nodes_i, given_i, known, plans, bool(schema.caveats))))
-        done = reduce(DataFrame.unionByName, values)
-        still_open = done.where((F.col("code") == OPEN) & F.col("err").isNull()).count()
-        if not still_open or still_open == open_before:
+        waiting = done.where((F.col("code") == OPEN) & F.col("err").isNull()).select(*NODE)
+        n = waiting.count()
+        if not n or n == before:
             break
-        open_before = still_open
-        done = settle(done)
+        before = n
+        again = settle(_resolve(waiting, all_given.join(waiting, list(NODE), "left_semi"), done, plans, too))
+        done = settle(done.join(waiting, list(NODE), "left_anti").unionByName(again))
     return done

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import world
-from .operators import check
+from .functions import caveats
+from .operators import check, expand, lookup
+from .plans import analysis
+from .plans.schema import Caveat, Schema, parse
+from .sources import store, tuples
+from .streaming import watch
+from .util import shared_dir
+from .world import table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -60,3 +70,432 @@ def _checked(spark: SparkSession, sf_dir: str, permission: str) -> DataFrame:
 @query(verdict_sql("(viewer OR owner OR nation) AND NOT banned"))
 def q_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checked(spark, sf_dir, "view")
+
+
+@query(verdict_sql("owner AND viewer"))
+def so2_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "audit")
+
+
+@query(verdict_sql("owner AND NOT banned"))
+def so3_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "edit")
+
+
+@query(verdict_sql("viewer"))
+def j2_wildcard_and_usersets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "viewer")
+
+
+@query(verdict_sql("owner"))
+def j1_direct_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, "owner")
+
+
+def _part_items(spark: SparkSession, sf_dir: str, permission: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("resource_id"))
+    return parts.select("resource_id", F.explode(F.array(*map(F.lit, ("c0", "c3", "c7", "c12")))).alias("subject_id")).select(
+        F.concat("resource_id", F.lit("/"), "subject_id").alias("item_id"), F.lit("part").alias("resource_type"), "resource_id", F.lit(permission).alias("permission"), F.lit("user").alias("subject_type"), "subject_id", F.lit("...").alias("subject_relation")
+    )
+
+
+def _part_sql(how: str) -> str:
+    return f"""{VIEW_SQL}, held AS (SELECT r.rid, r.sid, u.uid, EXISTS (SELECT 1 FROM rels n JOIN nation_view v ON n.sid = v.rid WHERE n.rt = 'supplier' AND n.rid = r.sid AND v.uid = u.uid) AS k
+      FROM rels r, (VALUES ('c0'), ('c3'), ('c7'), ('c12')) u(uid) WHERE r.rt = 'part'),
+    asked AS (SELECT 'p' || p_partkey AS rid, u.uid FROM part, (VALUES ('c0'), ('c3'), ('c7'), ('c12')) u(uid) WHERE p_partkey % 5 = 0)
+    SELECT a.rid || '/' || a.uid AS item_id, CASE WHEN coalesce({how}(h.k), false) THEN 'member' ELSE 'not_member' END AS verdict
+    FROM asked a LEFT JOIN held h ON a.rid = h.rid AND a.uid = h.uid GROUP BY a.rid, a.uid"""
+
+
+@query(_part_sql("bool_or"))
+def j5_arrow_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.bulk_check(world.edges(spark, sf_dir), world.world_schema(), _part_items(spark, sf_dir, "any_view")).select("item_id", "verdict")
+
+
+@query(_part_sql("bool_and"))
+def j6_arrow_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.bulk_check(world.edges(spark, sf_dir), world.world_schema(), _part_items(spark, sf_dir, "all_view")).select("item_id", "verdict")
+
+
+@query("""SELECT item_id, verdict FROM (VALUES ('a', 'member'), ('b', NULL), ('c', NULL), ('d', NULL), ('e', 'not_member'), ('f', 'member')) t(item_id, verdict)""")
+def q_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single checks: a hit through nested groups, the errors of bad requests, a miss, and an object's own identity."""
+    items = [
+        ("a", "region", "r0", "view", "user", "c1", "..."), ("b", "region", "r0", "nothing", "user", "c1", "..."), ("c", "region", "r0", "view", "ghost", "c1", "..."),
+        ("d", "region", "r0", "view", "user", "*", "..."), ("e", "region", "r0", "view", "user", "nobody", "..."), ("f", "group", "all", "member", "group", "all", "member"),
+    ]
+    df = spark.createDataFrame(items, "item_id string, resource_type string, resource_id string, permission string, subject_type string, subject_id string, subject_relation string")
+    return check.bulk_check(world.edges(spark, sf_dir), world.world_schema(), df).select("item_id", "verdict")
+
+
+# Lookups ----------------------------------------------------------------------------------------------------------------
+@query(f"{VIEW_SQL} SELECT uid AS subject_id, rid AS resource_id, 'member' AS verdict FROM nation_view WHERE CAST(substr(uid, 2) AS BIGINT) < 100")
+def q_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that the first hundred customers may view."""
+    subjects = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.lit("user").alias("subject_type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("subject_id"), F.lit("...").alias("subject_relation"))
+    return lookup.lookup_resources(world.edges(spark, sf_dir), world.world_schema(), subjects, "nation", "view").select("subject_id", "resource_id", "verdict")
+
+
+@query(f"{VIEW_SQL} SELECT rid AS resource_id FROM nation_view WHERE uid = 'c3' AND rid > 'n1' ORDER BY rid LIMIT 5")
+def q_lrtop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subjects = spark.createDataFrame([("user", "c3", "...")], "subject_type string, subject_id string, subject_relation string")
+    found = lookup.lookup_resources(world.edges(spark, sf_dir), world.world_schema(), subjects, "nation", "view")
+    return lookup.page(found, after="n1", limit=5).select("resource_id")
+
+
+@query(f"{VIEW_SQL} SELECT 'o' || o_orderkey AS resource_id FROM orders WHERE o_custkey = 7 AND NOT (o_orderstatus = 'F' AND o_custkey % 7 = 0)")
+def q_lr_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that customer 7 may edit: candidates by reverse edges, confirmed by checks."""
+    subjects = spark.createDataFrame([("user", "c7", "...")], "subject_type string, subject_id string, subject_relation string")
+    return lookup.lookup_resources(world.edges(spark, sf_dir), world.world_schema(), subjects, "order", "edit").select("resource_id")
+
+
+LS_SQL = f"""{VIEW_SQL}, asked AS (SELECT 'o' || o_orderkey AS rid FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey < 1000),
+  grants AS (SELECT a.rid, r.sid AS uid FROM asked a JOIN rels r ON r.rt = 'order' AND r.rid = a.rid AND r.rel IN ('viewer', 'owner') AND r.st = 'user'
+    UNION SELECT a.rid, m.uid FROM asked a JOIN rels r ON r.rt = 'order' AND r.rid = a.rid AND r.rel = 'viewer' AND r.srel = 'member' JOIN members m ON m.gid = r.sid
+    UNION SELECT a.rid, v.uid FROM asked a JOIN rels r ON r.rt = 'order' AND r.rid = a.rid AND r.rel = 'nation' JOIN nation_view v ON v.rid = r.sid),
+  bans AS (SELECT a.rid, r.sid AS uid FROM asked a JOIN rels r ON r.rt = 'order' AND r.rid = a.rid AND r.rel = 'banned')
+"""
+
+
+@query(LS_SQL + """SELECT g.rid AS resource_id, g.uid AS subject_id, g.uid = '*' AS is_wildcard, CASE WHEN g.uid = '*' THEN coalesce((SELECT string_agg(b.uid, ',' ORDER BY b.uid) FROM bans b WHERE b.rid = g.rid), '') ELSE '' END AS excluded
+  FROM grants g WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.rid = g.rid AND b.uid = g.uid)""")
+def q_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who may view public orders, with the wildcards' exclusions."""
+    resources = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0 and o_orderkey < 1000").select(F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"))
+    return lookup.lookup_subjects(world.edges(spark, sf_dir), world.world_schema(), resources, "view", "user").select("resource_id", "subject_id", "is_wildcard", "excluded")
+
+
+@query(f"{VIEW_SQL} SELECT gid AS resource_id, uid AS subject_id FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY uid) AS n FROM members) WHERE n <= 10 AND gid IN ('staff', 'all')")
+def q_lslim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resources = spark.createDataFrame([("group", "staff"), ("group", "all")], "resource_type string, resource_id string")
+    found = lookup.lookup_subjects(world.edges(spark, sf_dir), world.world_schema(), resources, "member", "user")
+    return lookup.first_subjects(found, 10).select("resource_id", "subject_id")
+
+
+@query(f"{VIEW_SQL} SELECT gid AS resource_id, count(*) AS n FROM members GROUP BY gid")
+def j3_transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = world.edges(spark, sf_dir).where("resource_type = 'group'").select("resource_type", "resource_id").distinct()
+    return lookup.candidates(world.edges(spark, sf_dir), world.world_schema(), groups, "member", "user").groupBy("resource_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def q_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resources = table(spark, sf_dir, "orders").where("o_orderkey < 20").select(F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"))
+    return expand.expand(world.edges(spark, sf_dir), world.world_schema(), resources, "edit")
+
+
+# Reads, filters, text -----------------------------------------------------------------------------------------------------
+EDGES_SQL = f"WITH {world.RELS_SQL} SELECT rt AS resource_type, rid AS resource_id, rel AS resource_relation, st AS subject_type, sid AS subject_id, srel AS subject_relation FROM rels"
+TEXT_SQL = "rt || ':' || rid || '#' || rel || '@' || st || ':' || sid || CASE WHEN srel = '...' THEN '' ELSE '#' || srel END"
+
+
+def _edges_where(condition, *more: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return world.edges(spark, sf_dir).where(condition()).select(*tuples.KEY)
+
+    return run
+
+
+for _name, _condition, _sql in (
+    ("sc2_forward_query", lambda: tuples.relationships(resource_type="order", resource_ids=["o1", "o11", "o97"]), "rt = 'order' AND rid IN ('o1', 'o11', 'o97')"),
+    ("sc3_reverse_query", lambda: tuples.subjects("user", ["c3", "*"]), "st = 'user' AND sid IN ('c3', '*')"),
+    ("sc7_broad_scan", lambda: F.lit(True), "true"),
+    ("fp1_relationships_filter", lambda: tuples.relationships("order", id_prefix="o1", relation="viewer"), "rt = 'order' AND rid LIKE 'o1%' AND rel = 'viewer'"),
+    ("fp2_subject_selectors", lambda: tuples.relationships("order", selectors=[tuples.subjects("group"), tuples.subjects("user", ["*"])]), "rt = 'order' AND (st = 'group' OR (st = 'user' AND sid = '*'))"),
+    ("fp3_subject_relation", lambda: tuples.relationships(selectors=[tuples.subjects(relation=("only_userset",))]), "srel <> '...'"),
+    ("fp6_subjects_filter", lambda: tuples.subjects("group", ["all"], ("exact", "member")), "st = 'group' AND sid = 'all' AND srel = 'member'"),
+    ("fp7_watch_filter", lambda: watch.wanted(filters=[{"resource_type": "nation", "subject": {"type_": "user", "relation": ""}}, {"resource_type": "region"}]), "(rt = 'nation' AND st = 'user' AND srel = '...') OR rt = 'region'"),
+    ("fp9_subject_pushdown", lambda: tuples.relationships("order", relation="viewer", selectors=[tuples.subjects("user", ["c3", "*"]), tuples.subject_relation("only_userset")]), "rt = 'order' AND rel = 'viewer' AND ((st = 'user' AND sid IN ('c3', '*')) OR srel <> '...')"),
+    ("fp12_public_wildcard", lambda: F.col("subject_id") == "*", "sid = '*'"),
+):
+    QUERIES[_name] = _edges_where(_condition)
+    ORACLE_SQL[_name] = f"{EDGES_SQL} WHERE {_sql}"
+
+
+@query(f"{EDGES_SQL} WHERE rt = 'order' AND (st, sid, srel, rid, rel) > ('user', 'c1', '...', 'o5', 'owner') ORDER BY st, sid, srel, rid, rel LIMIT 200")
+def sc4_reverse_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ("subject_type", "subject_id", "subject_relation", "resource_id", "resource_relation")
+    e = world.edges(spark, sf_dir).where("resource_type = 'order'")
+    return e.where(tuples.after(("user", "c1", "...", "o5", "owner"), order)).orderBy(*order).limit(200).select(*tuples.KEY)
+
+
+@query(f"WITH {world.RELS_SQL}, t AS (SELECT {TEXT_SQL} AS tuple FROM rels) SELECT tuple FROM t WHERE tuple > 'nation:n2' ORDER BY tuple LIMIT 100")
+def sk1_read_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_page(world.edges(spark, sf_dir), "nation:n2", 100).select("tuple")
+
+
+@query(f"WITH {world.RELS_SQL} SELECT {TEXT_SQL} AS tuple FROM rels WHERE rt IN ('order', 'group')")
+def sk3_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = world.edges(spark, sf_dir).where("resource_type in ('order', 'group')")
+    return e.select(tuples.text(e).alias("tuple"))
+
+
+@query(f"WITH {world.RELS_SQL} SELECT rt AS resource_type, rel AS resource_relation, st AS subject_type, srel AS subject_relation, count(*) AS n, count(DISTINCT rid) AS resources FROM rels WHERE length(rid) > 0 GROUP BY rt, rel, st, srel")
+def sc9_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text there and back for every edge."""
+    e = world.edges(spark, sf_dir)
+    back = e.select(tuples.text(e).alias("t")).select(*tuples.parse(F.col("t")))
+    return back.groupBy("resource_type", "resource_relation", "subject_type", "subject_relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("resource_id").alias("resources"))
+
+
+@query("""SELECT * FROM (VALUES ('doc:a#view@user:b', true), ('document:a#view@user:b', true), ('document:a#view@user:*', true), ('document:*#view@user:b', false), ('document:a@user:b', false),
+  ('document:a#view@group:g#member[limit_ok:{"max": 3}]', true), ('document:a#view@user:b[limit_ok:{bad]', false), ('document:a#view@user:b[expiration:2030-01-01T00:00:00Z]', true), ('', false)) t(line, parsed)""")
+def sc10_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ["doc:a#view@user:b", "document:a#view@user:b", "document:a#view@user:*", "document:*#view@user:b", "document:a@user:b", 'document:a#view@group:g#member[limit_ok:{"max": 3}]',
+             "document:a#view@user:b[limit_ok:{bad]", "document:a#view@user:b[expiration:2030-01-01T00:00:00Z]", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    return df.select("line", tuples.parse(F.col("line"))[0].isNotNull().alias("parsed"))
+
+
+@query(f"WITH {world.RELS_SQL} SELECT rt AS resource_type, rel AS resource_relation, count(*) AS n FROM rels GROUP BY rt, rel")
+def a1_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return world.edges(spark, sf_dir).groupBy("resource_type", "resource_relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {world.RELS_SQL} SELECT count(*) AS n FROM rels WHERE rt = 'order' AND rel = 'viewer'")
+def q_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return world.edges(spark, sf_dir).where(tuples.relationships("order", relation="viewer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {world.RELS_SQL} SELECT 'all' AS part, 0 AS bad UNION ALL SELECT 'reversed', count(*) FROM rels WHERE rt = 'order' AND rel = 'owner'")
+def j17_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge of the world fits its schema; owners turned into groups do not."""
+    e, schema = world.edges(spark, sf_dir), world.world_schema()
+    wrong = e.where("resource_type = 'order' and resource_relation = 'owner'").withColumn("subject_type", F.lit("group"))
+    count = lambda df, part: store.violations(spark, schema, df).agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("bad"))
+    return count(e, "all").unionByName(count(wrong, "reversed"))
+
+
+@query(f"{EDGES_SQL} WHERE rt = 'order' AND ((rel = 'viewer' AND sid = '*') OR rel = 'banned')")
+def j16_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of relations and subject types that a new schema drops."""
+    text_ = world.SCHEMA_TEXT.replace("relation viewer: user | user:* | group#member", "relation viewer: user | group#member").replace("  relation banned: user\n", "").replace(" - banned", "")
+    return store.orphans(world.edges(spark, sf_dir), world.world_schema(), parse(text_)).select(*tuples.KEY)
+
+
+# The versioned log ----------------------------------------------------------------------------------------------------
+LOG_SQL = """log AS (SELECT event_id + 1 AS rev, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'touch' END AS op, 'k' || json_extract_string(props, '$.k') AS rid, 'u' || user_id AS sid FROM events),
+top AS (SELECT max(rev) AS head, max(rev) // 2 AS half FROM log),
+folded AS (SELECT * FROM (SELECT rev AS created_rev, op, rid, sid, lead(rev) OVER (PARTITION BY rid, sid ORDER BY rev) AS deleted_rev FROM log) WHERE op = 'touch')"""
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("caveat_name", "string"), ("caveat_context", "string"), ("expires_at", "timestamp"))]
+    return events.select(
+        (F.col("event_id") + 1).cast("long").alias("rev"), F.when(F.col("event_type") == "error", "delete").otherwise("touch").alias("op"), F.lit("page").alias("resource_type"),
+        F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("resource_id"), F.lit("visitor").alias("resource_relation"), F.lit("user").alias("subject_type"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject_id"), F.lit("...").alias("subject_relation"), *none,
+    )
+
+
+def _half(log: DataFrame) -> int:
+    return log.agg(F.max("rev")).first()[0] // 2
+
+
+_PAGE = ["resource_id", "subject_id"]
+
+
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev FROM folded, top WHERE created_rev <= half AND (deleted_rev IS NULL OR deleted_rev > half)")
+def sc1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return store.at(store.fold(log), _half(log)).select("resource_id", "subject_id", "created_rev")
+
+
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, deleted_rev FROM folded")
+def w10_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.fold(event_log(spark, sf_dir)).select("resource_id", "subject_id", "created_rev", "deleted_rev")
+
+
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, deleted_rev FROM folded, top WHERE deleted_rev IS NULL OR deleted_rev > half")
+def w9_garbage_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return store.collect_garbage(store.fold(log), _half(log)).select("resource_id", "subject_id", "created_rev", "deleted_rev")
+
+
+@query(f"WITH {LOG_SQL} SELECT rev, op, rid AS resource_id, sid AS subject_id FROM log, top WHERE rev > half")
+def sc14_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return log.where(F.col("rev") > _half(log)).select("rev", "op", *_PAGE)
+
+
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id FROM folded, top WHERE created_rev <= half AND (deleted_rev IS NULL OR deleted_rev > half) ORDER BY rid, sid LIMIT 100")
+def w2_limited_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return store.first_by_key(store.at(store.fold(log), _half(log)), 100).select(*_PAGE)
+
+
+@query(f"WITH {LOG_SQL} SELECT DISTINCT l.rid AS resource_id, l.sid AS subject_id FROM log l, top WHERE l.rev > half AND l.op = 'touch' AND (EXISTS (SELECT 1 FROM folded f WHERE f.rid = l.rid AND f.sid = l.sid AND f.created_rev <= half AND (f.deleted_rev IS NULL OR f.deleted_rev > half)) OR (SELECT count(*) FROM log m WHERE m.rev > half AND m.op = 'touch' AND m.rid = l.rid AND m.sid = l.sid) > 1)")
+def j14_create_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    half = _half(log)
+    return store.conflicts(store.at(store.fold(log), half), log.where((F.col("rev") > half) & (F.col("op") == "touch"))).select(*_PAGE)
+
+
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id FROM folded, top WHERE created_rev <= half AND (deleted_rev IS NULL OR deleted_rev > half) UNION SELECT rid, sid FROM log, top WHERE rev > half AND op = 'touch'")
+def sc13_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    half = _half(log)
+    updates = log.where((F.col("rev") > half) & (F.col("op") == "touch")).dropDuplicates(list(tuples.KEY))
+    return store.upsert(store.at(store.fold(log), half).select(*world.COLUMNS), updates).select(*_PAGE)
+
+
+@query("SELECT event_type AS name, arg_max(CAST(user_id AS VARCHAR), event_id) AS filter, CAST(max(event_id) AS BIGINT) AS rev FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) GROUP BY event_type HAVING arg_max(user_id % 2, event_id) >= 0")
+def j18_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each name at a revision, as schemas and counters are looked up."""
+    versions = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("filter"), F.col("event_id").cast("long").alias("rev"))
+    return store.latest(versions, "name", "filter", _half(versions))
+
+
+@query("SELECT name, filter FROM (SELECT event_type AS name, arg_max(user_id, event_id) AS v, arg_max(CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END, event_id) AS filter FROM events GROUP BY event_type) WHERE filter <> ''")
+def q_lscnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that live: the last version of each, tombstones (odd users here) hidden."""
+    versions = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).alias("filter"), F.col("event_id").cast("long").alias("rev"))
+    return versions.groupBy("name").agg(F.max_by(F.struct("filter"), "rev").alias("last")).select("name", F.col("last.filter").alias("filter")).where("filter is not null")
+
+
+@query(f"WITH {LOG_SQL} SELECT rev, CASE WHEN op = 'delete' THEN 'delete' ELSE 'touch' END AS kind, 'page:' || rid || '#visitor@user:' || sid AS tuple FROM log, top WHERE rev > half AND rid LIKE 'k1%'")
+def q_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of the log through the stream, for pages whose id starts with k1."""
+    log = event_log(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    log.repartitionByRange(4, "rev").write.parquet(f"{folder}/log")
+    stream = watch.tail(spark, f"{folder}/log", after=_half(log), files_per_batch=2)
+    watch.watch(stream, f"{folder}/sink", f"{folder}/state", watch.wanted(filters=[{"resource_type": "page", "id_prefix": "k1"}])).awaitTermination()
+    return spark.read.parquet(f"{folder}/sink").where("kind <> 'checkpoint'").select("rev", "kind", "tuple")
+
+
+# Caveats --------------------------------------------------------------------------------------------------------------
+NOW = "1998-01-01 00:00:00"
+
+
+def _conditional_items(spark: SparkSession, sf_dir: str, permission: str) -> DataFrame:
+    amount = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit('"amount": '), F.col("o_totalprice").cast("string")))
+    ip = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit('"user_ip": "10.'), (F.col("o_orderkey") % 200).cast("string"), F.lit('.1.1"')))
+    context = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(amount, ip)), ", "), F.lit("}"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("item_id"), F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"), F.lit(permission).alias("permission"),
+        F.lit("user").alias("subject_type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject_id"), F.lit("...").alias("subject_relation"), context.alias("context"),
+    )
+
+
+def _conditional_sql(expr: str, missing: str) -> str:
+    return f"""WITH f AS (SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice <= c_acctbal END AS limit_ok,
+      CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 200 = o_custkey % 200 END AS ip_ok, o_orderkey % 3 = 0 AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '{NOW}' AS lease FROM orders JOIN customer ON o_custkey = c_custkey),
+    g AS (SELECT *, {expr} AS k FROM f)
+    SELECT item_id, CASE WHEN k THEN 'member' WHEN NOT k THEN 'not_member' ELSE 'caveated' END AS verdict, CASE WHEN k IS NULL THEN {missing} ELSE '' END AS missing FROM g"""
+
+
+def _conditional(spark: SparkSession, sf_dir: str, permission: str) -> DataFrame:
+    return check.bulk_check(world.caveat_edges(spark, sf_dir), world.caveat_schema(), _conditional_items(spark, sf_dir, permission), NOW).select("item_id", "verdict", "missing")
+
+
+@query(_conditional_sql("limit_ok OR lease", "'amount'"))
+def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caveats with the context of each request, and leases against a pinned time."""
+    return _conditional(spark, sf_dir, "view")
+
+
+BOTH_MISSING = "CASE WHEN limit_ok IS NULL AND ip_ok IS NULL THEN 'amount,user_ip' WHEN limit_ok IS NULL THEN 'amount' ELSE 'user_ip' END"
+
+
+@query(_conditional_sql("limit_ok AND ip_ok", BOTH_MISSING))
+def e27_caveat_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conditional(spark, sf_dir, "strict")
+
+
+@query(_conditional_sql("limit_ok OR ip_ok", BOTH_MISSING))
+def a3_kleene_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conditional(spark, sf_dir, "any")
+
+
+@query(f"SELECT 'o' || o_orderkey AS resource_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '{NOW}'")
+def sc8_expiration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return world.caveat_edges(spark, sf_dir).where("resource_relation = 'lease'").where(tuples.live(NOW)).select("resource_id")
+
+
+@query("SELECT 'limit_ok' AS caveat_name, count(*) AS n FROM orders UNION ALL SELECT NULL, count(*) FROM orders WHERE o_orderkey % 3 = 0")
+def fp4_caveat_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = world.caveat_edges(spark, sf_dir)
+    return e.where(tuples.relationships(caveat="limit_ok")).unionByName(e.where(tuples.relationships(caveat=False))).groupBy("caveat_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS leased, 2 * count(*) AS open_ended FROM orders")
+def fp5_expiration_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = world.caveat_edges(spark, sf_dir)
+    return e.agg(F.count(F.when(tuples.relationships(expiration=True), 1)).alias("leased"), F.count(F.when(tuples.relationships(expiration=False), 1)).alias("open_ended"))
+
+
+#: Caveat expressions over orders, and the same in SQL.
+EXPRESSIONS = {
+    "e1_conditional": ("o_totalprice > 1000.0 ? o_orderstatus == 'F' : o_orderstatus == 'O'", "CASE WHEN o_totalprice > 1000.0 THEN o_orderstatus = 'F' ELSE o_orderstatus = 'O' END"),
+    "e2_logic": ("!(o_orderstatus == 'F') && (o_custkey < 500 || o_totalprice > 100000.0)", "NOT (o_orderstatus = 'F') AND (o_custkey < 500 OR o_totalprice > 100000.0)"),
+    "e4_comparisons": ("o_custkey >= 10 && o_custkey <= 900 && o_orderstatus != 'P'", "o_custkey >= 10 AND o_custkey <= 900 AND o_orderstatus <> 'P'"),
+    "e5_addition": ("o_custkey + 7 > 300 && o_orderstatus + 'x' == 'Fx'", "o_custkey + 7 > 300 AND o_orderstatus || 'x' = 'Fx'"),
+    "e6_subtraction": ("o_custkey - 100 > 0 && -o_custkey < -200", "o_custkey - 100 > 0 AND -o_custkey < -200"),
+    "e7_arithmetic": ("o_custkey * 3 / 7 % 5 == 2", "(o_custkey * 3 // 7) % 5 = 2"),
+    "e8_index": ("[1, 2, 3][o_custkey % 3] == 2", "o_custkey % 3 = 1"),
+    "e9_in": ("o_orderstatus in ['F', 'P']", "o_orderstatus IN ('F', 'P')"),
+    "e10_size": ("size(o_orderpriority) > 5 && o_orderpriority.size() < 9", "length(o_orderpriority) > 5 AND length(o_orderpriority) < 9"),
+    "e12_casts": ("int(string(o_custkey)) == o_custkey && double(o_custkey) >= 12.0", "o_custkey >= 12"),
+    "e13_strings": ("o_orderpriority.startsWith('1') || o_orderpriority.endsWith('LOW') || o_orderpriority.contains('MED') || o_orderpriority.matches('^[45]')", "o_orderpriority LIKE '1%' OR o_orderpriority LIKE '%LOW' OR o_orderpriority LIKE '%MED%' OR regexp_matches(o_orderpriority, '^[45]')"),
+    "e14_dates": ("at.getFullYear() == 1997 && at.getMonth() < 6 && at.getDayOfMonth() > 9", "year(o_orderdate) = 1997 AND month(o_orderdate) - 1 < 6 AND day(o_orderdate) - 1 > 9"),
+    "e15_times": ("at.getDayOfWeek() == 0 && at.getHours() < 24 && at - duration('24h') < at", "dayofweek(o_orderdate) = 0"),
+    "e16_optional": ("m.?a.orValue(1) == 1 && optional.none().orValue(o_custkey) > 10", "o_custkey % 10 = 1 AND o_custkey > 10"),
+    "e17_subtree": ("{'a': o_custkey}.isSubtreeOf(m)", "o_custkey % 10 = o_custkey"),
+    "e18_in_cidr": ("ip.in_cidr('10.0.0.0/10')", "o_custkey % 256 < 64"),
+    "e20_macros": ("[1, 2, o_custkey % 4].all(x, x > 0) && [o_custkey].exists(x, x > 5) && [1, o_custkey].filter(x, x == 1).size() == 1 && has(m.a)", "o_custkey % 4 > 0 AND o_custkey > 5"),
+    "e21_literals": ("{'k': [o_custkey, 0x10]}.k[1] == 16 && m.b.c == 'x' && r'\\d' == '\\\\d'", "true"),
+}
+
+
+def _expression(name: str, expression: str):
+    types = {"o_totalprice": "double", "o_orderstatus": "string", "o_custkey": "int", "o_orderpriority": "string", "at": "timestamp", "ip": "ipaddress", "m": "map<any>"}
+    import re
+
+    params = tuple((p, t) for p, t in types.items() if re.search(rf"(?<![A-Za-z0-9_]){p}(?![A-Za-z0-9_])", expression))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        schema = Schema(caveats={"probe": Caveat("probe", params, expression)})
+        m = F.struct((F.col("o_custkey") % 10).alias("a"), F.struct(F.lit("x").alias("c")).alias("b"))
+        at = F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+        ip = F.concat(F.lit("10."), (F.col("o_custkey") % 256).cast("string"), F.lit(".3.4"))
+        context = F.to_json(F.struct("o_totalprice", "o_orderstatus", "o_custkey", "o_orderpriority", at.alias("at"), ip.alias("ip"), m.alias("m")))
+        df = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("probe").alias("caveat_name"), F.lit(None).cast("string").alias("caveat_context"), context.alias("context"))
+        return caveats.attach(df, schema).select("o_orderkey", "code", "err")
+
+    run.__name__ = name
+    return run
+
+
+for _name, (_cel, _sql) in EXPRESSIONS.items():
+    QUERIES[_name] = _expression(_name, _cel)
+    ORACLE_SQL[_name] = f"SELECT o_orderkey, CAST(CASE WHEN {_sql} THEN 3 ELSE 0 END AS INTEGER) AS code, CAST(NULL AS VARCHAR) AS err FROM orders"
+
+
+# Schemas --------------------------------------------------------------------------------------------------------------
+@query()
+def q_refl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.reflect(spark, world.world_schema())
+
+
+@query("SELECT * FROM (VALUES ('permission_added', 'nation#manage', ''), ('permission_expression_changed', 'nation#view', 'member'), ('relation_removed', 'nation#region', ''), ('subject_type_removed', 'order#viewer', 'user:*')) t(change, place, detail)")
+def q_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = world.SCHEMA_TEXT.replace("  relation region: region\n  relation member: user\n  permission view = member + region->view", "  relation member: user\n  permission view = member\n  permission manage = member").replace("user | user:* | group#member\n  permission edit", "user | group#member\n  permission edit")
+    return spark.createDataFrame(analysis.diff_rows(world.world_schema(), parse(new)), "change string, place string, detail string")
+
+
+@query("SELECT * FROM (VALUES ('lineitem', 'any_party'), ('lineitem', 'both'), ('lineitem', 'view'), ('nation', 'view'), ('order', 'view'), ('part', 'all_view'), ('part', 'any_view'), ('region', 'view'), ('supplier', 'view')) t(type, permission)")
+def q_comp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(analysis.computable_permissions(world.world_schema(), "region", "viewer"), "type string, permission string")
+
+
+@query("SELECT * FROM (VALUES ('nation', 'member', false), ('nation', 'region', false), ('nation', 'view', true), ('region', 'view', true), ('region', 'viewer', false), ('supplier', 'nation', false)) t(type, name, is_permission)")
+def q_dep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(analysis.dependent_relations(world.world_schema(), "supplier", "view"), "type string, name string, is_permission boolean")
+
+
+@query("SELECT * FROM (VALUES ('nation', 1), ('nation_id', 4)) t(name, distance)")
+def o9_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.suggestions(spark, ["nation", "nation_id", "region", "order"], "naion")

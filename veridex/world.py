@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.schema import parse
+from .util import shared_dir
 
 SCHEMA_TEXT = """
 use expiration
@@ -83,6 +85,7 @@ definition order {
 }
 """
 
+COLUMNS = ("resource_type", "resource_id", "resource_relation", "subject_type", "subject_id", "subject_relation", "caveat_name", "caveat_context", "expires_at")
 _COLUMNS = ("resource_type", "resource_id", "resource_relation", "subject_type", "subject_id", "subject_relation")
 
 
@@ -109,8 +112,29 @@ def _edge(df: DataFrame, rt, rid, rel, st, sid, srel="...") -> DataFrame:
     return df.select(*cols, *none)
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Relationships are a stored table, written once a session: every level of a check is then a plain scan with pushed filters."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        make(spark, sf_dir).write.partitionBy("resource_type").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key]).select(*COLUMNS)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The world's relationships."""
+    return _table(spark, sf_dir, "relationships", derive_edges)
+
+
+def caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conditional", derive_caveat_edges)
+
+
+def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     nation, customer, region, orders, supplier, lineitem = map(t, ("nation", "customer", "region", "orders", "supplier", "lineitem"))
     segment = F.concat(F.lit("seg_"), F.lower("c_mktsegment"))
@@ -141,7 +165,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders viewed up to the owner's balance, from the owner's network, and on leases that end."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
