@@ -18,7 +18,6 @@ extra columns are kept by ``encode``.
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,8 +98,12 @@ class Pieces:
             self.tables.append((keys[order], np.array([i for _, i in own], np.int64)[order]))
         low = min((self.score[i] for i in usable.values()), default=0.0)
         self.unk_score = low - 10.0
-        self.memo: dict[str, list[int]] = {}  # by segment, less its first space mark
-        self.bare: dict[str, list[int]] = {}  # segments without one
+        # ids as int32 bytes, by segment less its first space mark; what the older one has moves to the newer one when met
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        lengths = np.array([len(x) for x in self.raw])
+        self.raw_ends = np.concatenate(([0], np.cumsum(lengths)))
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         """Polynomial hashes of all prefixes, (n, length)."""
@@ -196,8 +199,8 @@ class Pieces:
             self.pair_stays[at] = got[np.searchsorted(new, held)]
         return out
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, as int32 bytes."""
         ids = self.found(words)
         n, length, most = ids.shape
         step = np.ones((n, length + 1), np.int64)
@@ -231,26 +234,28 @@ class Pieces:
             odd = np.flatnonzero((j > 0) & (columns[-1] == -1))
             columns[-1][odd] = -3 - (j[odd] - 1)  # a character without a piece, by its place
             j = np.where(j > 0, j - step[row, j], 0)
-        out = []
-        for w, got in zip(words, np.stack(columns[::-1], axis=1).tolist()):
-            if got[0] == -2:
-                got = got[got.count(-2) :]
-            if min(got) < -2:
-                got = [y for x in got for y in ((x,) if x >= 0 else self.char_ids(w[-3 - x]))]
-            out.append(got)
+        got = np.stack(columns[::-1], axis=1).astype(np.int32)
+        start = (got == -2).sum(axis=1)  # shorter ones are filled up on the left
+        raw, width = got.tobytes(), 4 * got.shape[1]
+        out = [raw[i * width + 4 * s : (i + 1) * width] for i, s in enumerate(start.tolist())]
+        for i in np.flatnonzero((got < -2).any(axis=1)).tolist():
+            w, row = words[i], got[i, start[i] :].tolist()
+            out[i] = np.array([y for x in row for y in ((x,) if x >= 0 else self.char_ids(w[-3 - x]))], np.int32).tobytes()
         return out
 
     def char_ids(self, c: str) -> list[int]:
         return self.byte_ids[list(c.encode("utf-8", "surrogatepass"))].tolist() if self.fallback else [self.unk]
 
-    def learn(self, missing: set[str], head: str, memo: dict[str, list[int]]) -> None:
+    def learn(self, missing: set[str], head: str) -> dict[str, bytes]:
         by_length: dict[int, list[str]] = {}
         for w in missing:
             by_length.setdefault(len(w), []).append(w)
+        got: dict[str, bytes] = {}
         for length, words in by_length.items():
             share = max(1, 2_000_000 // ((length + 1) * self.longest))
             for i in range(0, len(words), share):
-                memo.update(zip(words[i : i + share], self.viterbi([head + w for w in words[i : i + share]])))
+                got.update(zip(words[i : i + share], self.viterbi([head + w for w in words[i : i + share]])))
+        return got
 
     def cut(self, text: str | None) -> tuple[str | None, list[str]]:
         """A first segment without a space mark, or None, and the others less their first mark."""
@@ -265,20 +270,46 @@ class Pieces:
         got = self.segments(self.prefix + text.replace(" ", MARK))
         return (None, [w[1:] for w in got]) if got[0][0] == MARK else (got[0], [w[1:] for w in got[1:]])
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        memo, bare = self.memo, self.bare
-        if len(memo) + len(bare) > MEMO:
-            memo.clear()
-            bare.clear()
-        self.learn(set().union(*(words for _, words in cut)).difference(memo), MARK, memo)
-        self.learn({w for w, _ in cut if w is not None and w not in bare}, "", bare)
-        return [[*(bare[w] if w is not None else ()), *chain.from_iterable(map(memo.__getitem__, words))] for w, words in cut]
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        missing = set().union(*(words for _, words in cut)).difference(memo)
+        again = missing.intersection(older)
+        for w in again:
+            memo[w] = older[w]
+        memo.update(self.learn(missing - again, MARK))
+        bare = self.learn({w for w, _ in cut if w is not None}, "")
+        return [b"".join(map(memo.__getitem__, words)) if w is None else bare[w] + b"".join(map(memo.__getitem__, words)) for w, words in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_bytes(texts)]
+
+    def encode_arrow(self, texts: list[str | None]) -> pa.Array:
+        got = self.encode_bytes(texts)
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in got]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
 
     def decode(self, ids: list[int]) -> str:
         s = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return s[1:] if self.prefix and s[:1] == " " else s
 
+    def decode_arrow(self, lists: pa.Array) -> list[str]:
+        """All bytes of all ids in one gather."""
+        if not len(lists):
+            return []
+        lists = lists.fill_null([]) if lists.null_count else lists
+        ids = np.asarray(lists.flatten(), np.int64)
+        n = self.raw_ends[ids + 1] - self.raw_ends[ids]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        place = np.arange(ends[-1]) + np.repeat(self.raw_ends[ids] - ends[:-1], n)
+        raw = self.raw_bytes[place].tobytes()
+        counts = np.asarray(lists.value_lengths(), np.int64)
+        cuts = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        skip = b" " if self.prefix else None
+        return [raw[a + (raw[a : a + 1] == skip and a < b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
 
 @lru_cache(maxsize=2)
 def pieces(model: str | bytes) -> Pieces:
@@ -292,7 +323,7 @@ def encode(docs: DataFrame, model: str | None = None, column: str = "text", to:
     def run(batches):
         p = pieces(model)
         for b in batches:
-            yield b.append_column(to, pa.array(p.encode(b.column(column).to_pylist()), pa.list_(pa.int32())))
+            yield b.append_column(to, p.encode_arrow(b.column(column).to_pylist()))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.selectExpr("*", f"cast(null as array<int>) as `{to}`").schema)
@@ -305,7 +336,7 @@ def decode(encoded: DataFrame, model: str | None = None, column: str = "ids", to
     def run(batches):
         p = pieces(model)
         for b in batches:
-            yield b.append_column(to, pa.array([p.decode(x) if x else "" for x in b.column(column).to_pylist()], pa.string()))
+            yield b.append_column(to, pa.array(p.decode_arrow(b.column(column)), pa.string()))
 
     small_batches(encoded.sparkSession)
     return encoded.mapInArrow(run, encoded.selectExpr("*", f"'' as `{to}`").schema)
