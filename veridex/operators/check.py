@@ -153,7 +153,8 @@ def ground(edges: DataFrame, schema: Schema, plans: dict[tuple[str, str], Plan],
         )
         no_caveat = [F.lit(None).cast("string").alias("caveat_name"), F.lit(None).cast("string").alias("caveat_context")]
         inner = leaves.where("kind = 'node'").select(*payload, F.col("rt").alias("c_rt"), F.col("rid").alias("c_rid"), F.col("edge").alias("c_rel"), *no_caveat)
-        itself = leaves.where((F.col("kind") == "self") & (F.col("rt") == F.col("st")) & (F.col("rid") == F.col("sid")) & (F.col("srel") == ELLIPSIS)).select(*payload, *child_null, *no_caveat)
+        same = F.when(F.col("kind") == "self", F.col("srel") == ELLIPSIS).otherwise(F.col("srel") == F.col("edge"))
+        itself = leaves.where(F.col("kind").isin("self", "ident") & (F.col("rt") == F.col("st")) & (F.col("rid") == F.col("sid")) & same).select(*payload, *child_null, *no_caveat)
         got = direct.unionByName(walks).unionByName(inner).unionByName(itself).withColumnRenamed("ctx", "context")
         got = caveats.attach(got, schema).withColumnRenamed("context", "ctx").drop("caveat_name", "caveat_context")
         # a child that is the subject itself holds; one whose relation its type lacks does not
@@ -183,7 +184,7 @@ def _resolve(nodes: DataFrame, given: DataFrame, values: DataFrame | None, plans
         v = values.select(*[F.col(a).alias(b) for a, b in zip(NODE, ("v_rt", "v_rid", "v_rel", "v_st", "v_sid", "v_srel", "v_ctx"))], F.col("code").alias("v_code"), F.col("missing").alias("v_missing"), F.col("err").alias("v_err"), F.col("height").alias("v_height"))
         on = [F.col(a) == F.col(b) for a, b in (("c_rt", "v_rt"), ("c_rid", "v_rid"), ("c_rel", "v_rel"), ("st", "v_st"), ("sid", "v_sid"), ("srel", "v_srel"), ("ctx", "v_ctx"))]
         got = given.join(v, on, "left")
-    height = F.col("cost") + F.coalesce("v_height", F.lit(0))
+    height = F.col("cost") + (F.col("kind") == "this").cast("int") + F.coalesce("v_height", F.lit(0))
     deep = F.col("c_rt").isNotNull() & (height > MAX_DEPTH)
     child = F.when(deep, F.lit(OPEN)).otherwise(F.coalesce("v_code", F.lit(OPEN)))
     code = F.when(F.col("c_rt").isNull(), F.col("code")).otherwise(k_and(F.col("code"), child))

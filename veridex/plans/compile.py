@@ -16,7 +16,7 @@ from .schema import Arrow, Nil, Ref, Schema, Self, SetOp
 
 @dataclass(frozen=True)
 class Leaf:
-    kind: str  # this, any, all, node, self
+    kind: str  # this, any, all, node, self; ident: the name itself, as a subject
     edge: str = ""  # relation whose edges are read, or the relation of the node
     target: str = ""  # relation asked of what an arrow reaches
     cost: int = 0
@@ -53,11 +53,11 @@ def compile_member(schema: Schema, type_: str, name: str) -> Plan:
         m = schema.member(type_, n)
         if m is None:
             return ("nil",)
-        if not m.is_permission:
-            return plan.leaf(Leaf("this", n, cost=cost))
         if n in path:
             return plan.leaf(Leaf("node", n, cost=cost))
-        return walk(m.expr, (*path, n), cost)
+        inner = walk(m.expr, (*path, n), cost) if m.is_permission else plan.leaf(Leaf("this", n, cost=cost))
+        # an inlined name still holds for the subject that is this very name of this object
+        return ("union", (inner, plan.leaf(Leaf("ident", n, cost=cost)))) if path else inner
 
     plan.expr = member(name, (), 0)
     return plan
@@ -79,4 +79,4 @@ def monotone(plan: Plan) -> bool:
     def ok(e) -> bool:
         return e[0] in ("leaf", "nil") or e[0] == "union" and all(map(ok, e[1]))
 
-    return ok(plan.expr) and all(x.kind in ("this", "any", "node") for x in plan.leaves)
+    return ok(plan.expr) and all(x.kind in ("this", "any", "node", "ident") for x in plan.leaves)
