@@ -138,7 +138,8 @@ def train(docs: DataFrame) -> Model:
 
 
 def attach(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns, with lang_pred and score added."""
+    """All rows and columns, with lang_pred and score added (columns of those names are replaced)."""
+    docs = docs.drop("lang_pred", "score")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -129,7 +129,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     own = _wide(_cutoffs(sk, ["lang", "source"]), ["lang", "source"], "own").withColumnsRenamed({"lang": "l1", "source": "s1"})
     lang = _wide(_cutoffs(sk, ["lang"]), ["lang"], "lang").withColumnsRenamed({"lang": "l2"})
     whole = _wide(_cutoffs(sk, []), [], "all")
-    cuts = own.join(lang, F.col("l1").eqNullSafe(F.col("l2")), "left").join(F.broadcast(whole))  # whole: one row
+    cuts = own.withColumn("one", F.lit(1)).join(lang, F.col("l1").eqNullSafe(F.col("l2")), "left").join(whole.withColumn("one", F.lit(1)), "one")  # whole: one row
     for k in RATIOS:
         for end in ("max", "min"):
             cuts = cuts.withColumn(
