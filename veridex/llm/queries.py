@@ -76,7 +76,50 @@ QUERIES = {
     )
 }
 
+
+
+def _quality_sql() -> str:
+    """The counts, the sketches and the cutoffs of quality.py in SQL."""
+    odd = quality.SYMBOLS + "0123456789.,;:!?'\"()[]{}=+-_/\\@~^`"
+    cls = "[" + "".join(f"\\x{ord(c):02X}" for c in odd) + "]"
+    symbols = "[" + "".join(f"\\x{ord(c):02X}" for c in quality.SYMBOLS) + "]"
+    word = r"[^\x20\x09-\x0D]+"
+    gone = lambda pattern: f"length(text) - length(regexp_replace(text, '{pattern}', '', 'g'))"
+    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS ratio, CAST({a} AS DOUBLE) / greatest({b}, 1) AS v FROM f WHERE n_words > 0" for k, (a, b, _, _) in quality.RATIOS.items())
+    slack = " UNION ALL ".join(f"SELECT '{k}' AS ratio, CAST({up} AS DOUBLE) AS up, CAST({'NULL' if down is None else down} AS DOUBLE) AS down" for k, (_, _, up, down) in quality.RATIOS.items())
+    value = f"CASE WHEN b <= -1000000 THEN 0.0 ELSE exp((b - 0.5) * {quality.LOG_GAMMA!r}) END"
+
+    def cut(keys: str, tag: str) -> str:
+        by = f"{keys}, ratio" if keys else "ratio"
+        return f"""{tag}_cum AS (SELECT {by}, b, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, b, sum(n) AS n FROM sk GROUP BY {by}, b)),
+        {tag} AS (SELECT {by}, max(total) AS docs, {', '.join(f"min({value}) FILTER (WHERE upto >= ceil(total * {q})) AS {x}" for q, x in ((quality.LOW_Q, 'lo'), (0.5, 'mid'), (quality.HIGH_Q, 'hi')))} FROM {tag}_cum GROUP BY {by})"""
+
+    pick = lambda c: f"CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.{c} WHEN l.docs >= {quality.MIN_GROUP} THEN l.{c} ELSE w.{c} END AS {c}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{word}')) AS w, generate_subscripts(regexp_extract_all(text, '{word}'), 1) AS i FROM d),
+three AS (SELECT doc_id, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS s FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM three WHERE s IS NOT NULL) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM often, (VALUES (0), (1), (2)) t(k) GROUP BY doc_id),
+words AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(DISTINCT w) AS n_distinct FROM tok GROUP BY doc_id),
+ls AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}') GROUP BY doc_id),
+f AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(CAST(word_chars AS BIGINT), 0) AS word_chars, CASE WHEN n_words > 0 THEN {gone(symbols)} ELSE 0 END AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_distinct, 0) AS n_distinct, CASE WHEN n_words > 0 THEN CAST(word_chars AS BIGINT) - ({gone(cls)}) ELSE 0 END AS n_alpha
+  FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
+r AS ({ratios}),
+sk AS (SELECT lang, source, ratio, CASE WHEN v <= 0 THEN -1000000 ELSE CAST(ceil(ln(v) / {quality.LOG_GAMMA!r}) AS INTEGER) END AS b, count(*) AS n FROM r GROUP BY ALL),
+{cut('lang, source', 'own')}, {cut('lang', 'byl')}, {cut('', 'whole')},
+slack AS ({slack}),
+cuts AS (SELECT o.lang, o.source, o.ratio, {pick('lo')}, {pick('mid')}, {pick('hi')} FROM own o JOIN byl l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN whole w ON o.ratio = w.ratio),
+bad AS (SELECT DISTINCT doc_id FROM r JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.ratio = c.ratio JOIN slack s ON s.ratio = r.ratio
+  WHERE v > mid + greatest({quality.SPREAD} * (hi - mid), up) OR v < CASE WHEN down IS NULL THEN -1.0 ELSE mid - greatest({quality.SPREAD} * (mid - lo), down) END)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
+"""
+
+
 ORACLE_SQL = {
+    "op1_quality_rules": _quality_sql(),
     "op5_chat_formatting": r"""
 WITH rows AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
