@@ -303,15 +303,15 @@ def sc1_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.at(store.fold(log), _half(log)).select("resource_id", "subject_id", "created_rev")
 
 
-@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, deleted_rev FROM folded")
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, coalesce(deleted_rev, -1) AS deleted_rev FROM folded")
 def w10_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.fold(event_log(spark, sf_dir)).select("resource_id", "subject_id", "created_rev", "deleted_rev")
+    return store.fold(event_log(spark, sf_dir)).select("resource_id", "subject_id", "created_rev", F.coalesce("deleted_rev", F.lit(-1)).alias("deleted_rev"))
 
 
-@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, deleted_rev FROM folded, top WHERE deleted_rev IS NULL OR deleted_rev > half")
+@query(f"WITH {LOG_SQL} SELECT rid AS resource_id, sid AS subject_id, created_rev, coalesce(deleted_rev, -1) AS deleted_rev FROM folded, top WHERE deleted_rev IS NULL OR deleted_rev > half")
 def w9_garbage_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    return store.collect_garbage(store.fold(log), _half(log)).select("resource_id", "subject_id", "created_rev", "deleted_rev")
+    return store.collect_garbage(store.fold(log), _half(log)).select("resource_id", "subject_id", "created_rev", F.coalesce("deleted_rev", F.lit(-1)).alias("deleted_rev"))
 
 
 @query(f"WITH {LOG_SQL} SELECT rev, op, rid AS resource_id, sid AS subject_id FROM log, top WHERE rev > half")
