@@ -9,7 +9,7 @@ similarity reaches ``PERCENT``. The result is exact up to collisions of 63-bit h
    among its own kept ones too.
 2. Equal sets become one class. On the classes left, shingles are ordered by how many classes hold them, rarest first,
    and only the first tenth and one more of each set are indexed: linked sets share one of those.
-3. Each inverted list is searched from its most typical document (fewest shingles of its own): the documents that share a
+3. Each inverted list is searched from its most typical document (whose shingles most others hold): the documents that share a
    list with it form blocks of bounded size. In a block, a T-occurrence search finds for a query all documents that
    reach the required overlap: short inverted lists are merged by a heap, the longest ones (DivideSkip) are probed by
    binary search for the candidates left. Queries go on from linked documents until the block is connected or every
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_dir, small_batches
+from .common import release, remove, settle, shared_dir, small_batches
 
 PERCENT = 90
 BLOCK = 256
@@ -229,28 +229,40 @@ def join(docs: DataFrame) -> DataFrame:
         df.write.option("parquet.enable.dictionary", "false").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    info = keep(docs.mapInArrow(_heads, "doc_id long, n long, digest binary, head array<long>"), "heads")
+    heads = keep(docs.mapInArrow(_heads, "doc_id long, n long, digest binary, head array<long>"), "heads")
+    info = settle(heads.select("doc_id", "n", "digest"))
 
     # 1. documents with enough shingles of their own are alone
     p = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
     rank = p + F.floor(p / 4) + 2
-    tokens = info.where("n > 0 and doc_id is not null").select("doc_id", rank.alias("rank"), F.posexplode("head").alias("at", "token")).select("token", "doc_id", (F.col("at") < F.col("rank")).alias("near"))
+    usable = heads.where("n > 0 and doc_id is not null")
+    tokens = usable.select("doc_id", rank.alias("rank"), F.posexplode("head").alias("at", "token")).select("token", "doc_id", (F.col("at") < F.col("rank")).alias("near"))
     lone = tokens.repartition("token").groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"), F.max("near").alias("near")).where("c = 1 and near")
     own = lone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    left = info.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) < p)
+    left = info.where("n > 0 and doc_id is not null").join(own, "doc_id", "left").where(F.coalesce("own", F.lit(0)) < p)
     classes = settle(left.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")))
+    del heads, usable, tokens, lone, own, left
+    remove(spark, f"{folder}/heads")
+    release(spark)
 
     # 2. the rarest shingles of each class are indexed
     texts = docs.join(classes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
     sets = keep(texts.mapInArrow(_sets, "doc long, tokens array<long>"), "sets")
-    all_tokens = sets.select("doc", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    del texts
+    release(spark)
+    all_tokens = sets.select("doc", F.explode("tokens").alias("token"))
     shared = all_tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1")
     by_doc = Window.partitionBy("doc")
-    ranked = shared.withColumn("r", F.row_number().over(by_doc.orderBy("c", "token"))).withColumn("own", F.col("n") - F.count(F.lit(1)).over(by_doc))
-    lists = keep(ranked.where(F.col("r") <= p - F.col("own")).select("token", "doc", "n", "own"), "lists")
+    ranked = shared.withColumn("r", F.row_number().over(by_doc.orderBy("c", "token"))).withColumn("shared", F.count(F.lit(1)).over(by_doc))
+    ranked = ranked.withColumn("held", F.sum("c").over(by_doc)).join(classes.groupBy("doc").agg(F.min("n").alias("n")), "doc").withColumn("own", F.col("n") - F.col("shared"))
+    # how many classes hold a shingle of the document, on average: the text that copies were made from has most
+    typical = (F.col("held") + F.col("own")) / F.col("n")
+    lists = keep(ranked.where(F.col("r") <= p - F.col("own")).select("token", "doc", "n", typical.alias("typical")), "lists")
+    del all_tokens, shared, ranked
+    release(spark)
 
     # 3. blocks around the most typical document of each list
-    centre = lists.groupBy("token").agg(F.min(F.struct("own", "doc", "n")).alias("m")).select("token", F.col("m.doc").alias("centre"), F.col("m.n").alias("cn"))
+    centre = lists.groupBy("token").agg(F.max(F.struct("typical", (-F.col("doc")).alias("minus"), "n")).alias("m")).select("token", (-F.col("m.minus")).alias("centre"), F.col("m.n").alias("cn"))
     fits = lambda a, b: (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
     stars = lists.join(centre, "token").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("cn"))).select("centre", "doc").distinct()
     links = keep(_search(settle(stars), sets, False), "links")
@@ -260,13 +272,18 @@ def join(docs: DataFrame) -> DataFrame:
     marked = lists.join(label, "doc", "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("component"))
     several = marked.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     marked = settle(marked.join(several, "token"))
-    other = marked.select("token", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = marked.join(other, "token").where((F.col("component") < F.col("component2")) & fits(F.col("n"), F.col("n2"))).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"))
+    held = marked.groupBy("doc").agg(F.collect_list("token").alias("tokens"))  # at most the indexed tenth of a set
+    marked = settle(marked.join(held, "doc"))
+    other = marked.select("token", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("tokens").alias("tokens2"))
+    # a pair that meets in many lists is made in one of them
+    once = F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")
+    on = (F.col("component") < F.col("component2")) & fits(F.col("n"), F.col("n2")) & once
+    across = marked.join(other, "token").where(on).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"))
     more = keep(_search(settle(across.distinct()), sets, True), "more")
     final = components(links.unionAll(more))
 
     of_class = classes.join(final, "doc", "left").select(F.col("digest").alias("d"), F.coalesce("component", "doc").alias("component"))
-    return info.select("doc_id", "n", "digest").join(of_class, F.col("digest") == F.col("d"), "left").select(
+    return info.join(of_class, F.col("digest") == F.col("d"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")).alias("component_id")
     )
 

@@ -317,7 +317,8 @@ def pieces(model: str | bytes) -> Pieces:
 
 
 def encode(docs: DataFrame, model: str | None = None, column: str = "text", to: str = "ids") -> DataFrame:
-    """All rows and columns, with the ids added."""
+    """All rows and columns, with the ids added (a column of that name is replaced)."""
+    docs = docs.drop(to)
     model = model or default_model()
 
     def run(batches):
@@ -330,7 +331,8 @@ def encode(docs: DataFrame, model: str | None = None, column: str = "text", to:
 
 
 def decode(encoded: DataFrame, model: str | None = None, column: str = "ids", to: str = "decoded") -> DataFrame:
-    """All rows and columns, with the decoded text added; null ids are empty."""
+    """All rows and columns, with the decoded text added (a column of that name is replaced); null ids are empty."""
+    encoded = encoded.drop(to)
     model = model or default_model()
 
     def run(batches):
