@@ -181,7 +181,7 @@ def j3_transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resources = table(spark, sf_dir, "orders").where("o_orderkey < 20").select(F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"))
+    resources = table(spark, sf_dir, "orders").select(F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"))
     return expand.expand(world.edges(spark, sf_dir), world.world_schema(), resources, "edit")
 
 
