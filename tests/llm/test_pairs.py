@@ -116,3 +116,24 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("vec_id < 0"), df.where("vec_id < 0")).collect() == []
     few = ann.search(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
     assert len(few) <= 4
+
+
+def test_nearest_neighbours_all_have_k(spark):
+    """Most vectors in tight groups of near copies, the rest far apart: the sparse ones get their k rows too."""
+    rng = np.random.default_rng(5)
+    tight = np.repeat(rng.normal(size=(20, 16)), 50, axis=0) + 1e-4 * rng.normal(size=(1000, 16))
+    x = np.vstack([tight, 3 * rng.normal(size=(40, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, [1.0, float(i)]) for i in range(6)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, df.where("vec_id % 10 = 0 or vec_id >= 1000")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in [*range(0, 1000, 10), *range(1000, 1040)]:
+        assert [r for r, _ in got[q]] == list(range(1, 21)), q
+    for q in range(2000, 2006):  # fewer candidates than k: all of them
+        assert {i for _, i in got[q]} == set(range(2000, 2006)) - {q}
+    hits = 0
+    for q in range(1000, 1040):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({i for _, i in got[q]} & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 800

@@ -6,6 +6,9 @@ queries are scaled to it. Each of ``TABLES`` tables hashes with ``HASHES`` Gauss
 order of the estimated chance that a neighbour at that distance lies in them, until the chances of the table add up to
 its share of ``TARGET``. The candidates of all tables are merged and reranked exactly, in double precision.
 
+A query left with fewer than ``k + 1`` classes, though its vector length has more, is scored against all vectors in the same
+blocks: the expected distance is one for all queries, and too small for those that lie apart.
+
 Every row is indexed. Only the expected distance is fitted, on at most ``SAMPLE`` vectors. Vectors and queries are dealt
 into blocks by hash, and each pair of blocks is one task of bounded size; where over a tenth of a block are candidates
 they are multiplied as a whole and masked, else gathered. Equal vectors are indexed once with their ``k + 1`` smallest
@@ -90,19 +93,20 @@ def _codes(h: np.ndarray) -> np.ndarray:
         return (h.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
 
 
-def search_block(tables: Tables, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int):
-    """(query, id, score) of the k best candidates of the block for each query, all ties of the last one included."""
-    full, scaled = tables.completed(x), tables.scaled(q)
-    index = []
-    for t in range(TABLES):
-        code = _codes(tables.places(full, t)[0])
-        order = np.argsort(code, kind="stable")
-        index.append((code[order], order))
-    stepped = _codes(tables.steps)
+def search_block(tables: Tables, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, every: bool = False):
+    """(query, id, score) of the k best candidates of the block for each query, all ties of the last one included; with ``every``, all vectors are candidates."""
+    if not every:
+        full, scaled = tables.completed(x), tables.scaled(q)
+        index = []
+        for t in range(TABLES):
+            code = _codes(tables.places(full, t)[0])
+            order = np.argsort(code, kind="stable")
+            index.append((code[order], order))
+        stepped = _codes(tables.steps)
     for lo in range(0, len(q), 64):
         part = q[lo : lo + 64]
-        hit = np.zeros((len(part), len(x)), bool)
-        for t in range(TABLES):
+        hit = np.full((len(part), len(x)), every)
+        for t in range(0 if every else TABLES):
             h, rest = tables.places(scaled[lo : lo + 64], t)
             codes, order = index[t]
             for i, (own, steps) in enumerate(zip(_codes(h), tables.probes(rest))):
@@ -149,29 +153,42 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         sample = classes.select("class_id", "e").orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).collect()
         for dim in {len(r["e"]) for r in sample}:
             near[dim] = expected(np.array([r["e"] for r in sample if len(r["e"]) == dim]), float(most), k * len(sample) / n)
-        blocks, query_blocks = -(-n // BLOCK), -(-n_asked // QUERIES)
-
-        def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            out = [], [], []
-            if left.num_rows and right.num_rows:
-                dim = key[0].as_py()
-                x, q = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, dim) for t, c in ((left, "e"), (right, "qe")))
-                tables = Tables(dim, float(most), near.get(dim, float(most)))
-                for query, got, s in search_block(tables, left.column("class_id").to_numpy(), x, right.column("query").to_numpy(), q, k + 1):
-                    out[0].append(np.full(len(got), query))
-                    out[1].append(got)
-                    out[2].append(s)
-            cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-            return pa.table({"class_id": pa.array(cols[0].astype(np.int64)), "near_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
-
-        dealt = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
-        left = classes.select("class_id", "e", F.size("e").alias("dim"), dealt.alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-        again = classes.select(F.col("class_id").alias("query"), F.col("e").alias("qe"))
-        right = again.join(wanted.withColumnRenamed("class_id", "query"), "query", "left_semi").select(
-            "query", "qe", F.size("qe").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qvb"),
-            F.pmod(F.xxhash64("query", F.lit(1)), F.lit(query_blocks)).alias("qqb"),
-        )
-        found = left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("qdim", "qvb", "qqb")).applyInArrow(task, schema)
+        blocks = -(-n // BLOCK)
+
+        def scored(wanted: DataFrame, n_asked: int, every: bool) -> DataFrame:
+            """The best of each block for each of the classes ``wanted``."""
+            query_blocks = -(-n_asked // QUERIES)
+
+            def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
+                out = [], [], []
+                if left.num_rows and right.num_rows:
+                    dim = key[0].as_py()
+                    x, q = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, dim) for t, c in ((left, "e"), (right, "qe")))
+                    tables = Tables(dim, float(most), near.get(dim, float(most)))
+                    for query, got, s in search_block(tables, left.column("class_id").to_numpy(), x, right.column("query").to_numpy(), q, k + 1, every):
+                        out[0].append(np.full(len(got), query))
+                        out[1].append(got)
+                        out[2].append(s)
+                cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
+                return pa.table({"class_id": pa.array(cols[0].astype(np.int64)), "near_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
+
+            dealt = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
+            left = classes.select("class_id", "e", F.size("e").alias("dim"), dealt.alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
+            again = classes.select(F.col("class_id").alias("query"), F.col("e").alias("qe"))
+            right = again.join(wanted.withColumnRenamed("class_id", "query"), "query", "left_semi").select(
+                "query", "qe", F.size("qe").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qvb"),
+                F.pmod(F.xxhash64("query", F.lit(1)), F.lit(query_blocks)).alias("qqb"),
+            )
+            return left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("qdim", "qvb", "qqb")).applyInArrow(task, schema)
+
+        found = settle(scored(wanted, n_asked, False))
+        per_dim = classes.groupBy(F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("there"))
+        have = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("have"))
+        sized = classes.select("class_id", F.size("e").alias("dim")).join(wanted, "class_id", "left_semi").join(per_dim, "dim").join(have, "class_id", "left")
+        short = settle(sized.where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k + 1), "there")).select("class_id"))
+        n_short = short.count()
+        if n_short:
+            found = found.join(short, "class_id", "left_anti").unionByName(scored(short, n_short, True))
     # of each class, the k + 1 best: the query itself may be one of them
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("score"), "near_id"))).where(F.col("r") <= k + 1).drop("r")
     members = classes.select(F.col("class_id").alias("near_id"), F.explode("members").alias("vec_id"))
