@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -209,3 +210,23 @@ def test_base_digest_form():
     spans = [(0, 0, 5), (0, 2, 9), (3, 1, 30)]
     assert secrets.say(spans) == "assign:0:5,hex:0:9,access:3:30"
     assert secrets._row(None)[4] == hashlib.sha256(b"").hexdigest()
+
+
+def test_secrets_pluses_joins_annotations_and_subscripts():
+    def said(text):
+        return [text[s:e] for s, k, e in secrets.find_spans(text) if k == 3]
+
+    for text in ("aws_secret_access_key = {}", "Note: client_credential = '{}'", 'passphrase: str = "{}"', 'passphrase: Optional[str] = "{}"', 'passphrase: str | None="{}"',
+                 'conf["passphrase"] = "{}"', 'pwd[0] = "{}"', 'passphrase = backup = "{}"', "Note: client_credential={}", "let passphrase: &'static str = '{}';"):
+        value = "wJalrXUtn/K7MDENG+bPxRfiCYzz09"
+        assert said(text.format(value)) == [value], text
+        assert value not in secrets.redacted(text.format(value))
+    assert said('passphrase = "Half1-aXy" + "half2-Bz9"') == ["Half1-aXy", "half2-Bz9"]
+    assert said('base = "s3cr3tPart"\npassphrase = base+"Tail-99x"') == ["s3cr3tPart", "Tail-99x"]
+    assert said('base = "s3cr3tPart"\nmore = "Tail-99x"\npassphrase = base+more') == ["s3cr3tPart", "Tail-99x"]
+    assert said('passphrase = "Half1-aXy" + suffix_name') == ["Half1-aXy"]
+    assert said("passphrase = prefix_name + suffix_name") == []
+    for long in ("pwd=" * 50_000, "pwd=" * 50_000 + "x" * 50_000, "pwd: " * 40_000, "pwd[" * 50_000, "a=pwd+" * 30_000, "pwd|" * 50_000 + "= 'x'"):
+        start = time.process_time()
+        secrets.find_spans(long)
+        assert time.process_time() - start < 10, long[:10]

@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and assignments found by lexing.
 
 The lexer reads source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``,
-``name => x``, ``<name>x</name>`` is left alone) into (name, literal) pairs in the order of the text. Constants are
-propagated: a bare identifier on the right is replaced by the literal it was last given, a sum of literals and known
-names is joined. A pair scores by how sensitive its name is and how random its literal looks; from ``THRESHOLD`` on,
-the literal's own place in the text is reported as a span of kind ``pair``. For a propagated name that is the place
-where the literal was written.
+``name => x``, ``name[i] = x``, ``name: type = x``, ``name = name = x``; ``<name>x</name>`` is left alone) into
+(name, literal) pairs in the order of the text. Constants are propagated: a bare identifier on the right is replaced by
+the literal it was last given, a sum of literals and known names is joined (a plus sign within a bare literal joins only
+known names or quotes). A pair scores by how sensitive its name is and how random its literal looks; from ``THRESHOLD``
+on, the place of each of the literal's pieces in the text is reported as a span of kind ``pair``. For a propagated name
+that is the place where the literal was written.
 
 Defined cases: null text is empty and has no spans; repeated rows are scanned each; texts of any length are scanned whole;
 an empty table gives an empty result; extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -29,11 +30,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so asking for 24 at once finds the same as dropping shorter runs later.
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?P<op>:=|=>|==|=|:)[ \t]*"""
-    r"""(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z0-9+/_.=\-]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_]*))*)"""
+#: A name, maybe subscripted or quoted, and its operator. A value's first character follows.
+HEAD = re.compile(
+    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[[^\[\]\n]*+\])*+)["']?\]?[ \t]*+(?P<op>:=|=>|==|=|:)[ \t]*+(?=["'&*A-Za-z0-9+/_.=\-])"""
 )
-PART = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9/_.=\-]+)""")
+PIECE = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+)""")
+LATER = re.compile(r"""[ \t]*\+[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_]*))""")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+#: Where a value may stand: a name or an annotation with an operator and a value of its own.
+TYPE = r"""[&*]*(?:'[a-z]+[ \t]+)?[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[[^\[\]\n]*+(?:\[[^\[\]\n]*+\][^\[\]\n]*+)*+\])?+"""
+INNER = re.compile(rf"""{TYPE}(?:[ \t]*\|[ \t]*{TYPE})*+["']?[ \t]*+(?P<op>:=|=>|=(?!=)|:)[ \t]*+(?=["'&*A-Za-z0-9+/_.\-])""")
 #: Sensitive parts of names and their weights.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0,
@@ -63,32 +69,85 @@ def literal_weight(value: str) -> float:
     return min(1.5, 0.25 * (kinds - 1) + 0.25 * min(entropy(value), 4.0))
 
 
+def _value(text: str, at: int, known: dict) -> tuple[int, str, tuple, int] | None:
+    """End, value, places of its pieces, and the end of a bare first piece (else 0); None if there is no literal."""
+    first = PIECE.match(text, at)
+    if not first:
+        return None
+    k, end, run = first.lastindex, first.end(), 0
+    pieces: list[tuple[str, tuple]] = []
+
+    def add(piece: str, s: int) -> None:
+        if piece in known:
+            pieces.append(known[piece])
+        elif piece:
+            pieces.append((piece, ((s, s + len(piece)),)))
+
+    unsure = False
+    if k < 3:
+        if first[k]:
+            pieces.append((first[k], ((first.start(k), first.end(k)),)))
+    else:
+        bare, run = first[3], end
+        if bare.endswith("+") and (LATER.match(text, end - 1) and (text[end:].lstrip(" \t")[:1] in ('"', "'") or bare[:-1] in known)):
+            bare, end = bare[:-1], end - 1
+        if "+" in bare and any(x in known for x in bare.split("+")):
+            s = at
+            for x in bare.split("+"):
+                add(x, s)
+                s += len(x) + 1
+        else:
+            unsure = bare not in known and IDENTIFIER.fullmatch(bare) is not None
+            add(bare, at)
+    joined = False
+    while p := LATER.match(text, end):
+        k, end, joined = p.lastindex, p.end(), True
+        if k < 3 or p[3] in known:
+            if p[k]:
+                pieces.append(known[p[3]] if k == 3 else (p[k], ((p.start(k), p.end(k)),)))
+    if joined and unsure:  # a name without a known literal
+        pieces = pieces[1:]
+    places = tuple(dict.fromkeys(x for _, where in pieces for x in where))
+    return end, "".join(v for v, _ in pieces), places, run
+
+
 def pairs(text: str):
-    """(name, value, start, end) of every assignment, constants propagated; start and end bound the literal as written."""
-    known: dict[str, tuple[str, int, int]] = {}
-    at = 0
-    while m := TOKEN.search(text, at):
-        at = m.end("value")
+    """(name, value, places) of every assignment, constants propagated; the places bound the pieces of the literal as written."""
+    known: dict[str, tuple[str, tuple]] = {}
+    at = run = 0
+    waiting: list[str] = []  # names before the one whose value follows: of annotations and chains
+    target = 0
+    while m := HEAD.search(text, at):
+        start = at = m.end()
+        if start > target:
+            waiting = []
         if m["op"] == "==":
             continue
-        parts, places, whole = [], [], True
-        for p in PART.finditer(m["value"]):
-            k = p.lastindex
-            base = m.start("value")
-            if k == 3 and p[3] in known:
-                v, s, e = known[p[3]]
-                parts.append(v)
-                places.append((s, e))
-            else:
-                parts.append(p[k])
-                places.append((base + p.start(k), base + p.end(k)))
-                whole = whole and (k != 3 or len(parts) == 1)
-        if not parts or not whole:
+        inner = INNER.match(text, start)
+        names = [m["name"]] if inner or start != target else [*waiting, m["name"]]
+        if inner:
+            # the value is itself a name with a value, unless they are one run of characters: then it is taken both ways
+            whole = start >= run and text[start] not in "&*"
+            if inner["op"] in ("=", ":="):
+                if start != target:
+                    waiting = []
+                waiting.append(m["name"])
+                target = inner.end()
+                whole = whole and (bare := PIECE.match(text, start)) is not None and bare.end() > target
+            if not whole:
+                continue
+        got = _value(text, start, known)
+        if not got:
             continue
-        value = "".join(parts)
-        s, e = max(places, key=lambda x: (x[1] - x[0], -x[0]))  # of a joined value, its longest piece
-        known[m["name"]] = (value, s, e)
-        yield m["name"], value, s, e
+        end, value, places, bare_end = got
+        run = max(run, bare_end)
+        if not inner:
+            at = max(end, start)
+            waiting = []
+        if places:
+            for name in names:
+                known[name] = (value, places)
+                yield name, value, places
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -100,10 +159,14 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     out |= {(m.start(), 2, m.end()) for m in HEX.finditer(text)}
     if "=" in text or ":" in text:
         if NAME.search(text):
-            for name, value, s, e in pairs(text):
+            weights: dict[str, float] = {}
+            for name, value, places in pairs(text):
                 w = name_weight(name)
-                if w and w + literal_weight(value) >= THRESHOLD:
-                    out.add((s, 3, e))
+                if w:
+                    if value not in weights:
+                        weights[value] = literal_weight(value)
+                    if w + weights[value] >= THRESHOLD:
+                        out.update((s, 3, e) for s, e in places)
     return sorted(out)
 
 
