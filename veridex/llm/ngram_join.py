@@ -1,7 +1,8 @@
 """N-gram Jaccard join by T-occurrence search, and the components of its links.
 
-A document's set are the hashes of its distinct three-word shingles; two documents link when their sets' Jaccard
-similarity reaches ``PERCENT``. The result is exact up to collisions of 63-bit hashes:
+A document's set are the hashes of its distinct shingles, of three words unless asked otherwise; two documents link when
+their sets' Jaccard similarity reaches ``PERCENT``, or what was asked. Fractions below are those at 90 percent.
+The result is exact up to collisions of 63-bit hashes:
 
 1. Documents that cannot link are left out. A partner lacks at most a tenth of a document's shingles, so a document with
    more shingles than that which nobody else has is alone. That is seen from the shingles with the smallest hashes,
@@ -19,7 +20,7 @@ similarity reaches ``PERCENT``. The result is exact up to collisions of 63-bit h
 
 Components come from star contractions of the found links, by joins and with reliable checkpoints.
 
-Defined cases: null text or no word: an empty set, linked with nothing; one or two words: the whole sequence is one
+Defined cases: null text or no word: an empty set, linked with nothing; fewer words than a shingle: the whole sequence is one
 shingle; repeated rows link with each other unless empty; rows that repeat an id with another text share its component; texts of any length are used whole; null ids get a null component; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -38,36 +39,42 @@ from pyspark.sql import functions as F
 
 from .common import release, remove, settle, shared_dir, small_batches
 
-PERCENT = 90
+#: Words of a shingle and least similarity, unless a caller asks for others.
+SIZE, PERCENT = 3, 90
 BLOCK = 256
 MEMO = 400_000
-K1, K2, K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+K1, K2, K3 = KS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def needed(a, b):
-    """The least overlap of linked sets of sizes a and b: 100 i >= PERCENT (a + b - i)."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+def needed(a, b, percent=PERCENT):
+    """The least overlap of linked sets of sizes a and b: 100 i >= percent (a + b - i)."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix(n):
+def prefix(n, percent=PERCENT):
     """So many shingles of a set of n that a linked set must have one of them: one more than it can lack."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def near_rank(n):
-    return prefix(n) + prefix(n) // 4 + 2
+def near_rank(n, percent=PERCENT):
+    return prefix(n, percent) + prefix(n, percent) // 4 + 2
 
 
-def stored(n: int) -> int:
+def stored(n: int, percent: int = PERCENT) -> int:
     """Kept hashes of a set of n: more than the near rank of any possible partner and what the set may have besides."""
-    least = -(-PERCENT * n // 100)
-    return min(n, max(near_rank(m) + n - needed(m, n) for m in {least, least + 1, n, 100 * n // PERCENT}) + 4)
+    least = -(-percent * n // 100)
+    return min(n, max(near_rank(m, percent) + n - needed(m, n, percent) for m in {least, least + 1, n, 100 * n // percent}) + 4)
 
 
 _words: dict[bytes, int] = {}
 
 
-def shingles(text: str | None) -> np.ndarray:
+def multiplier(j: int) -> np.uint64:
+    """Of the word at place j of a shingle."""
+    return KS[j] if j < len(KS) else np.uint64(pow(int(K1), 2 * j + 1, 1 << 64))
+
+
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """Sorted distinct hashes, under 2^63."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
@@ -79,10 +86,14 @@ def shingles(text: str | None) -> np.ndarray:
             _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
-        if len(h) < 3:
+        if len(h) < size:
             x = np.array([xxhash.xxh3_64_intdigest(b"\n".join(words), seed=len(words))], np.uint64)
         else:
-            x = h[:-2] * K1 + (h[1:-1] ^ (h[1:-1] >> np.uint64(29))) * K2 + (h[2:] ^ (h[2:] >> np.uint64(31))) * K3
+            n = len(h) - size + 1
+            x = h[:n] * K1
+            for j in range(1, size):
+                w = h[j : j + n]
+                x += (w ^ (w >> np.uint64(29 if j % 2 else 31))) * multiplier(j)
         x ^= x >> np.uint64(32)
         x *= K1
         x ^= x >> np.uint64(29)
@@ -94,24 +105,31 @@ def _arrays(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def _heads(batches):
-    for b in batches:
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), _arrays([s[: stored(len(s))] for s in sets])],
-            names=["doc_id", "n", "digest", "head"],
-        )
+def _heads(size: int, percent: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), _arrays([s[: stored(len(s), percent)] for s in sets])],
+                names=["doc_id", "n", "digest", "head"],
+            )
+
+    return run
+
 
+def _sets(size: int):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc"), _arrays([shingles(t, size) for t in b.column("text").to_pylist()])], names=["doc", "tokens"])
 
-def _sets(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc"), _arrays([shingles(t) for t in b.column("text").to_pylist()])], names=["doc", "tokens"])
+    return run
 
 
 class Index:
     """Inverted lists of a block of documents."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent = percent
         self.sets, self.sizes = sets, np.array([len(s) for s in sets])
         all_tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -123,9 +141,9 @@ class Index:
         own = self.sets[q]
         a, b = np.searchsorted(self.tokens, own), np.searchsorted(self.tokens, own, "right")
         lists = sorted((self.owner[i:j] for i, j in zip(a.tolist(), b.tolist()) if j > i + 1), key=len)  # a list of one holds q alone
-        need = needed(len(own), self.sizes) - (len(own) - len(lists)) * (np.arange(len(self.sizes)) == q)
-        least = max(1, int(needed(len(own), int(min(self.sizes.min(), len(own))))))
-        least = max(least, -(-PERCENT * len(own) // 100))  # no linked set needs less
+        need = needed(len(own), self.sizes, self.percent) - (len(own) - len(lists)) * (np.arange(len(self.sizes)) == q)
+        least = max(1, int(needed(len(own), int(min(self.sizes.min(), len(own))), self.percent)))
+        least = max(least, -(-self.percent * len(own) // 100))  # no linked set needs less
         skip = min(len(lists), least - 1)
         short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
         found = []
@@ -146,9 +164,9 @@ class Index:
         return found
 
 
-def connect(ids: list[int], sets: list[np.ndarray], first: int, only_first: bool) -> list[tuple[int, int]]:
+def connect(ids: list[int], sets: list[np.ndarray], first: int, only_first: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what is linked in the block, starting from document ``first``."""
-    index, n = Index(sets), len(ids)
+    index, n = Index(sets, percent), len(ids)
     root = list(range(n))
 
     def find(x):
@@ -177,26 +195,26 @@ def connect(ids: list[int], sets: list[np.ndarray], first: int, only_first: bool
     return links
 
 
-def _block(only_first: bool):
+def _block(only_first: bool, percent: int):
     def run(key, pairs: pa.Table, centre: pa.Table) -> pa.Table:
         links = []
         if pairs.num_rows and centre.num_rows:
             ids = [key[0].as_py(), *pairs.column("doc").to_pylist()]
             sets = [np.asarray(centre.column("ctokens")[0].values, np.int64), *(np.asarray(x.values, np.int64) for x in pairs.column("tokens"))]
-            links = connect(ids, sets, 0, only_first)
+            links = connect(ids, sets, 0, only_first, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def _search(pairs: DataFrame, sets: DataFrame, only_first: bool) -> DataFrame:
+def _search(pairs: DataFrame, sets: DataFrame, only_first: bool, percent: int) -> DataFrame:
     """Links found among pairs (centre, doc), in blocks by centre of about BLOCK documents."""
     per = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = pairs.join(per, "centre").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
     docs = dealt.join(sets, "doc").select("centre", "part", "doc", "tokens")
     centres = per.select(F.col("centre").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("cpart"))
     centres = centres.join(sets.select(F.col("doc").alias("c"), F.col("tokens").alias("ctokens")), "c")
-    return docs.groupBy("centre", "part").cogroup(centres.groupBy("c", "cpart")).applyInArrow(_block(only_first), "a long, b long")
+    return docs.groupBy("centre", "part").cogroup(centres.groupBy("c", "cpart")).applyInArrow(_block(only_first, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,8 +236,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("doc"), F.col("v").alias("component"))).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row, by shingles of ``size`` words and a similarity of ``percent``."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"
@@ -229,11 +247,11 @@ def join(docs: DataFrame) -> DataFrame:
         df.write.option("parquet.enable.dictionary", "false").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    heads = keep(docs.mapInArrow(_heads, "doc_id long, n long, digest binary, head array<long>"), "heads")
+    heads = keep(docs.mapInArrow(_heads(size, percent), "doc_id long, n long, digest binary, head array<long>"), "heads")
     info = settle(heads.select("doc_id", "n", "digest"))
 
     # 1. documents with enough shingles of their own are alone
-    p = F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1
+    p = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     rank = p + F.floor(p / 4) + 2
     usable = heads.where("n > 0 and doc_id is not null")
     tokens = usable.select("doc_id", rank.alias("rank"), F.posexplode("head").alias("at", "token")).select("token", "doc_id", (F.col("at") < F.col("rank")).alias("near"))
@@ -247,7 +265,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     # 2. the rarest shingles of each class are indexed
     texts = docs.join(classes.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
-    sets = keep(texts.mapInArrow(_sets, "doc long, tokens array<long>"), "sets")
+    sets = keep(texts.mapInArrow(_sets(size), "doc long, tokens array<long>"), "sets")
     del texts
     release(spark)
     all_tokens = sets.select("doc", F.explode("tokens").alias("token"))
@@ -263,9 +281,9 @@ def join(docs: DataFrame) -> DataFrame:
 
     # 3. blocks around the most typical document of each list
     centre = lists.groupBy("token").agg(F.max(F.struct("typical", (-F.col("doc")).alias("minus"), "n")).alias("m")).select("token", (-F.col("m.minus")).alias("centre"), F.col("m.n").alias("cn"))
-    fits = lambda a, b: (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     stars = lists.join(centre, "token").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("cn"))).select("centre", "doc").distinct()
-    links = keep(_search(settle(stars), sets, False), "links")
+    links = keep(_search(settle(stars), sets, False, percent), "links")
 
     # 4. lists that still hold several components
     label = components(links)
@@ -279,7 +297,7 @@ def join(docs: DataFrame) -> DataFrame:
     once = F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")
     on = (F.col("component") < F.col("component2")) & fits(F.col("n"), F.col("n2")) & once
     across = marked.join(other, "token").where(on).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"))
-    more = keep(_search(settle(across.distinct()), sets, True), "more")
+    more = keep(_search(settle(across.distinct()), sets, True, percent), "more")
     final = components(links.unionAll(more))
 
     of_class = classes.join(final, "doc", "left").select(F.col("digest").alias("d"), F.coalesce("component", "doc").alias("component"))
@@ -288,7 +306,7 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` less those of documents that link, however far, to one with a smaller id; a repeated id is kept once."""
-    first = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = join(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
