@@ -3,8 +3,8 @@
 A document is taken as a mixture of languages: each of its character n-grams is drawn from one of them. The n-gram
 likelihoods per language are hashed counts of trigrams (``BUCKETS`` numbers a language, a proven bound on the model),
 learned from all labelled training documents with whole texts. For a document, expectation-maximisation estimates the
-proportions; the language set is selected by penalised likelihood: starting from the ``KEEP`` languages that explain the
-document best alone, the smallest share goes as long as the penalty saved exceeds the log-likelihood lost.
+proportions; the language set is selected by penalised likelihood: starting from all learned languages, the smallest share
+goes as long as the penalty saved exceeds the log-likelihood lost.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is everything when no labelled document
 exists; null labels are not learned from; repeated rows count each; texts are used whole; extra columns are ignored.
@@ -23,7 +23,6 @@ from .common import small_batches
 
 BUCKETS = 1 << 14
 ALPHA = 0.1
-KEEP = 6
 ROUNDS = 12
 #: Overlapping n-grams are not independent: each counts as this share of an observation.
 WEIGHT = 1 / 3
@@ -91,7 +90,7 @@ class Model:
         c = count[at] * WEIGHT
         total = c.sum()
         alone = c @ self.log_p[at]
-        have = np.argsort(-alone, kind="stable")[:KEEP]
+        have = np.argsort(-alone, kind="stable")
         odds = np.exp(alone[have] - alone[have[0]])
         sure = float(1 / odds.sum())
         share = np.full(len(have), 1 / len(have))
