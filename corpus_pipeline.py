@@ -18,6 +18,8 @@ from veridex.llm.common import crc_mod, shared_dir, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this share of its first language (or doubt about it), a document is rejected.
 LEAST_SCORE = 0.4
+#: Words of a shingle, and percent of similarity from which documents are near copies.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_SIZE, NEAR_PERCENT)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
