@@ -8,7 +8,8 @@ import sentencepiece
 from veridex.llm import secrets, spm
 
 from .helpers import frame, hard_rows
-from .test_pairs import brute_components, families
+from .test_join_sizes import components
+from .test_pairs import families
 
 
 def test_pipeline(spark, tmp_path):
@@ -26,7 +27,7 @@ def test_pipeline(spark, tmp_path):
     known, single, clean, mixed, ids = seen
     gone = {r[0] for r in rows} - {r["doc_id"] for r in known}
     assert {4, 5, 6} <= gone and len(gone) < 12
-    want = brute_components([(r["doc_id"], r["text"]) for r in known])
+    want = components([(r["doc_id"], r["text"]) for r in known], 5, 80)
     assert sorted(r["doc_id"] for r in single) == sorted(i for i, (_, c) in want.items() if c == i)
     assert {r["doc_id"]: r["text"] for r in clean} == {r["doc_id"]: secrets.redacted(r["text"]) for r in single}
     assert all(r["n_chars"] == len(r["text"]) for r in clean)

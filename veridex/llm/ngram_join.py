@@ -422,8 +422,8 @@ def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row, by shingles of ``size`` words and a similarity of ``percent``."""
-    rows = classes_of(docs, size, percent)
-    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    rows = settle(classes_of(docs, size, percent))
+    least = settle(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")))  # settled: a join of two plain tables can split a large component
     first = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), first.alias("component_id"))
 
