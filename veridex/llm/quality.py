@@ -4,8 +4,10 @@ Every document gets a few counts; the ratios made of them go into log-bucketed q
 ``ACCURACY``), one per language, source and ratio. A sketch is a table of bucket counts, so sketches merge by adding:
 Spark's partial aggregation merges them map-side, and the sketches of all sources of a language, or of everything, are
 sums of the same rows. A group with under ``MIN_GROUP`` documents takes its language's sketch, and a language with too
-few takes that of all documents. Cutoffs are read off as ``median + SPREAD * (upper - median)`` and the mirror image
-below, and joined back to the documents.
+few takes that of all documents. Cutoffs are read off the sketch alone, as ``median + SPREAD * (upper - median)`` and the
+mirror image below, ``upper`` and the lower one being the quantiles ``HIGH_Q`` and ``LOW_Q``, and joined back to the
+documents. Only where a sketch has no spread on a side (median and quantile in one bucket), so that nothing can be read
+off it, a ratio's fixed slack stands in.
 
 Defined cases: null or blank text has no words and fails the base rule; null language or source is a group of its own;
 repeated rows count as often as they occur; an empty table gives an empty result; extra columns are ignored.
@@ -26,9 +28,9 @@ SYMBOLS = "#*$%&|<>"
 ACCURACY = 0.01
 LOG_GAMMA = log((1 + ACCURACY) / (1 - ACCURACY))
 MIN_GROUP = 50
-LOW_Q, HIGH_Q = 0.25, 0.75
+LOW_Q, HIGH_Q = 0.1, 0.9
 SPREAD = 5.0
-#: ratio -> (numerator, denominator, least slack above the median, slack below the median or None)
+#: ratio -> (numerator, denominator, slack above the median where there is no spread, that below it or None: no lower cutoff)
 RATIOS = {
     "word_len": ("word_chars", "n_words", 2.0, 1.5),
     "symbols": ("n_symbols", "n_words", 0.1, None),
@@ -117,8 +119,9 @@ def _wide(cut: DataFrame, keys: list[str], tag: str) -> DataFrame:
     cols = [F.max("docs").alias(f"{tag}_docs")]
     for k, (_, _, up, down) in RATIOS.items():
         pick = lambda c: F.max(F.when(F.col("ratio") == k, F.col(c)))  # noqa: E731, B023
-        cols.append((pick("mid") + F.greatest(SPREAD * (pick("hi") - pick("mid")), F.lit(up))).alias(f"{tag}_{k}_max"))
-        cols.append((F.lit(-1.0) if down is None else pick("mid") - F.greatest(SPREAD * (pick("mid") - pick("lo")), F.lit(down))).alias(f"{tag}_{k}_min"))
+        above, below = pick("hi") - pick("mid"), pick("mid") - pick("lo")
+        cols.append((pick("mid") + F.when(above > 0, SPREAD * above).otherwise(F.lit(up))).alias(f"{tag}_{k}_max"))
+        cols.append((F.lit(-1.0) if down is None else pick("mid") - F.when(below > 0, SPREAD * below).otherwise(F.lit(down))).alias(f"{tag}_{k}_min"))
     return cut.groupBy(*keys).agg(*cols) if keys else cut.agg(*cols)
 
 

@@ -112,7 +112,7 @@ sk AS (SELECT lang, source, ratio, CASE WHEN v <= 0 THEN -1000000 ELSE CAST(ceil
 slack AS ({slack}),
 cuts AS (SELECT o.lang, o.source, o.ratio, {pick('lo')}, {pick('mid')}, {pick('hi')} FROM own o JOIN byl l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN whole w ON o.ratio = w.ratio),
 bad AS (SELECT DISTINCT doc_id FROM r JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.ratio = c.ratio JOIN slack s ON s.ratio = r.ratio
-  WHERE v > mid + greatest({quality.SPREAD} * (hi - mid), up) OR v < CASE WHEN down IS NULL THEN -1.0 ELSE mid - greatest({quality.SPREAD} * (mid - lo), down) END)
+  WHERE v > mid + CASE WHEN hi > mid THEN {quality.SPREAD} * (hi - mid) ELSE up END OR v < CASE WHEN down IS NULL THEN -1.0 WHEN mid > lo THEN mid - {quality.SPREAD} * (mid - lo) ELSE mid - down END)
 SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """
