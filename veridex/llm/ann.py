@@ -6,13 +6,17 @@ queries are scaled to it. Each of ``TABLES`` tables hashes with ``HASHES`` Gauss
 order of the estimated chance that a neighbour at that distance lies in them, until the chances of the table add up to
 its share of ``TARGET``. The candidates of all tables are merged and reranked exactly, in double precision.
 
-A query left with fewer than ``k + 1`` classes, though its vector length has more, is scored against all vectors in the same
-blocks: the expected distance is one for all queries, and too small for those that lie apart.
+The hashes decide what is sent where. The first slots of a bucket are its cell: so many that a cell holds about ``CELL``
+vectors where they spread evenly. A vector goes to its cell in each table, a query only to the cells of the buckets it
+visits, and in a cell only vectors in visited buckets are candidates. A cell with more than ``BLOCK`` vectors or
+``QUERIES`` queries is dealt out by hash, so no task depends on how full a bucket is.
 
-Every row is indexed. Only the expected distance is fitted, on at most ``SAMPLE`` vectors. Vectors and queries are dealt
-into blocks by hash, and each pair of blocks is one task of bounded size; where over a tenth of a block are candidates
-they are multiplied as a whole and masked, else gathered. Equal vectors are indexed once with their ``k + 1`` smallest
-ids, which is all that a result of ``k`` rows with ties to smaller ids can hold.
+A query left with fewer than ``k + 1`` classes, though its vector length has more, is scored against all vectors in blocks:
+the expected distance is one for all queries, and too small for those that lie apart.
+
+Every row is indexed. Only the expected distance is fitted, on at most ``SAMPLE`` vectors. Where over a tenth of a block are
+candidates they are multiplied as a whole and masked, else gathered. Equal vectors are indexed once with their ``k + 1``
+smallest ids, which is all that a result of ``k`` rows with ties to smaller ids can hold.
 
 Defined cases: vectors that are null, zero, empty, or hold null or non-finite components take no part, neither as
 queries nor as candidates; vectors are compared with those of their own length; repeated rows are candidates each (of one
@@ -21,23 +25,27 @@ id, the pair with itself is left out); an empty table gives an empty result; ext
 
 from __future__ import annotations
 
+import uuid
 from itertools import product
-from math import sqrt
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, shared_dir, small_batches
 
-TABLES, HASHES, WIDTH, TARGET = 7, 7, 1.15, 0.95
+TABLES, HASHES, WIDTH, TARGET = 3, 6, 1.3, 0.96
 SAMPLE, SEED = 4096, 11
-BLOCK, QUERIES = 1 << 16, 512
+CELL, BLOCK, QUERIES = 1 << 13, 1 << 16, 2048
+#: Slots that a projection's values spread over, about.
+SPREAD = 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    e = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    e = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
     ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where(ok)
 
@@ -88,107 +96,157 @@ def normal(z: np.ndarray) -> np.ndarray:
 
 def _codes(h: np.ndarray) -> np.ndarray:
     """One number for each row of slots; slots within one step of each other differ by the same for any row."""
-    factors = np.array([np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ** 3 + 0x1234567) & (2**64 - 1)) for j in range(HASHES)])
+    factors = np.array([np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ** 3 + 0x1234567) & (2**64 - 1)) for j in range(h.shape[1])])
     with np.errstate(over="ignore"):
         return (h.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
 
 
-def search_block(tables: Tables, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, every: bool = False):
-    """(query, id, score) of the k best candidates of the block for each query, all ties of the last one included; with ``every``, all vectors are candidates."""
-    if not every:
-        full, scaled = tables.completed(x), tables.scaled(q)
-        index = []
-        for t in range(TABLES):
-            code = _codes(tables.places(full, t)[0])
-            order = np.argsort(code, kind="stable")
-            index.append((code[order], order))
-        stepped = _codes(tables.steps)
+def best_of(ids: np.ndarray, x: np.ndarray, lengths: float, q: np.ndarray, hits: np.ndarray, k: int):
+    """(place of the query, ids, scores) of the k best of the vectors that ``hits`` marks for each query, ties of the last one by smaller ids."""
+    dense = q @ x.T if hits.mean() > 0.1 else None
+    for i in range(len(q)):
+        at = np.flatnonzero(hits[i])
+        if not len(at):
+            continue
+        s = dense[i, at] if dense is not None else x[at] @ q[i]
+        if len(at) > k:  # what rounding may have put below the k-th stays in
+            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * lengths * np.linalg.norm(q[i])]
+        s = (x[at] * q[i]).sum(axis=1)
+        best = np.lexsort((ids[at], -s))[:k]
+        yield i, ids[at][best], s[best]
+
+
+def search_cell(tables: Tables, t: int, ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int):
+    """The best of those vectors of a cell whose buckets in table t each query visits."""
+    buckets, of = np.unique(_codes(tables.places(tables.completed(x), t)[0]), return_inverse=True)
+    stepped, scaled = _codes(tables.steps), tables.scaled(q)
     for lo in range(0, len(q), 64):
-        part = q[lo : lo + 64]
-        hit = np.full((len(part), len(x)), every)
-        for t in range(0 if every else TABLES):
-            h, rest = tables.places(scaled[lo : lo + 64], t)
-            codes, order = index[t]
-            for i, (own, steps) in enumerate(zip(_codes(h), tables.probes(rest))):
-                with np.errstate(over="ignore"):
-                    wanted = stepped[steps] + own
-                if len(codes) < 4 * len(wanted):
-                    hit[i, order[np.isin(codes, wanted)]] = True
-                    continue
-                a, b = np.searchsorted(codes, wanted), np.searchsorted(codes, wanted, "right")
-                a, b = a[b > a], b[b > a]
-                if len(a):
-                    n = b - a
-                    hit[i, order[np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]] = True
-        dense = part @ x.T if hit.mean() > 0.1 else None
-        for i in range(len(part)):
-            at = np.flatnonzero(hit[i])
-            if not len(at):
-                continue
-            s = dense[i, at] if dense is not None else x[at] @ part[i]
-            if len(at) > k:
-                best = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9
-                at = at[best]
-            s = (x[at] * part[i]).sum(axis=1)
-            best = np.lexsort((ids[at], -s))[:k]
-            yield int(qids[lo + i]), ids[at][best], s[best]
+        h, rest = tables.places(scaled[lo : lo + 64], t)
+        visited = np.zeros((len(h), len(buckets)), bool)
+        for i, (own, steps) in enumerate(zip(_codes(h), tables.probes(rest))):
+            with np.errstate(over="ignore"):
+                visited[i] = np.isin(buckets, stepped[steps] + own)
+        for i, got, s in best_of(ids, x, tables.norm, q[lo : lo + 64], visited[:, of], k):
+            yield lo + i, got, s
+
+
+def _array(column, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), float).reshape(len(column), dim)
+
+
+def _cells(make, first: int, ids: str, probing: bool):
+    """Rows of (dim, t, cell, id, e): each vector in its cell of each table, or each query in all cells it visits."""
+
+    def run(batches):
+        for b in batches:
+            lengths = np.asarray(b.column("e").value_lengths())
+            for dim in np.unique(lengths).tolist():
+                part = b.filter(pa.array(lengths == dim))
+                tables, x = make(dim), _array(part.column("e"), dim)
+                moved = _codes(tables.steps[:, :first])
+                for t in range(TABLES):
+                    h, rest = tables.places((tables.scaled if probing else tables.completed)(x), t)
+                    own = _codes(h[:, :first])
+                    if probing:
+                        with np.errstate(over="ignore"):
+                            seen = [np.unique(moved[steps]) + o for o, steps in zip(own, tables.probes(rest))]
+                        at, cell = np.repeat(np.arange(len(x)), [len(c) for c in seen]), np.concatenate(seen)
+                    else:
+                        at, cell = np.arange(len(x)), own
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cell.view(np.int64)), part.column(ids).take(pa.array(at)), part.column("e").take(pa.array(at))],
+                        names=["dim", "t", "cell", ids, "e"],
+                    )
+
+    return run
+
+
+FOUND = "class_id long, near_id long, score double"
+
+
+def _found(rows) -> pa.Table:
+    cols = list(zip(*rows)) or [(), (), ()]
+    asked = [np.full(len(got), q) for q, got in zip(cols[0], cols[1])]
+    a, b, s = (np.concatenate(c) if c else np.zeros(0) for c in (asked, cols[1], cols[2]))
+    return pa.table({"class_id": pa.array(a.astype(np.int64)), "near_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(float))})
+
+
+def hashed(classes: DataFrame, wanted: DataFrame, n: int, make, k: int) -> DataFrame:
+    """The best candidates of each class in ``wanted`` in each cell it visits."""
+    spark = classes.sparkSession
+    first = min(HASHES, max(1, ceil(log(max(1.0, n / CELL), SPREAD))))
+    kind = classes.schema["e"].dataType.simpleString()
+    keys = ["dim", "t", "cell"]
+    placed = classes.select("class_id", "e").mapInArrow(_cells(make, first, "class_id", False), f"dim int, t int, cell long, class_id long, e {kind}")
+    asked = wanted.select(F.col("class_id").alias("query"), "e").mapInArrow(_cells(make, first, "query", True), f"dim int, t int, cell long, query long, e {kind}")
+    # written, so that the size of what the joins below could broadcast is known and checked
+    folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    facts = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).join(asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qparts")), keys)
+    facts.write.parquet(folder)
+    facts = spark.read.parquet(folder)
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = placed.join(facts, keys).select(*keys, F.pmod(F.xxhash64("class_id"), F.col("parts")).alias("part"), spread("qparts").alias("qpart"), "class_id", "e")
+    right = asked.join(facts, keys).select(*(F.col(c).alias(f"q{c}") for c in keys), spread("parts").alias("of"), F.pmod(F.xxhash64("query", F.lit(1)), F.col("qparts")).alias("qof"), "query", F.col("e").alias("qe"))
+
+    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _found([])
+        dim, t = key[0].as_py(), key[1].as_py()
+        asked = right.column("query").to_numpy()
+        return _found([(asked[i], got, s) for i, got, s in search_cell(make(dim), t, left.column("class_id").to_numpy(), _array(left.column("e"), dim), _array(right.column("qe"), dim), k)])
+
+    return left.groupBy(*keys, "part", "qpart").cogroup(right.groupBy("qdim", "qt", "qcell", "of", "qof")).applyInArrow(task, FOUND)
+
+
+def everything(classes: DataFrame, wanted: DataFrame, n: int, n_asked: int, norm: float, k: int) -> DataFrame:
+    """The best of each block of all vectors for each class in ``wanted``."""
+    blocks, query_blocks = -(-n // BLOCK), -(-n_asked // QUERIES)
+
+    def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _found([])
+        dim = key[0].as_py()
+        ids, x, q, asked = left.column("class_id").to_numpy(), _array(left.column("e"), dim), _array(right.column("qe"), dim), right.column("query").to_numpy()
+        return _found([(asked[lo + i], got, s) for lo in range(0, len(q), 64) for i, got, s in best_of(ids, x, norm, q[lo : lo + 64], np.ones((len(q[lo : lo + 64]), len(x)), bool), k)])
+
+    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    left = classes.select("class_id", "e", F.size("e").alias("dim"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("vb"), spread(query_blocks).alias("qb"))
+    right = wanted.select(F.col("class_id").alias("query"), F.col("e").alias("qe"), F.size("e").alias("qdim"), spread(blocks).alias("qvb"), F.pmod(F.xxhash64("class_id", F.lit(1)), F.lit(query_blocks)).alias("qqb"))
+    return left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("qdim", "qvb", "qqb")).applyInArrow(task, FOUND)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of ``queries`` among all other rows of ``vectors``."""
     spark = vectors.sparkSession
+    small_batches(spark, 4096)
     v = usable(vectors)
     first = v.withColumn("n", F.row_number().over(Window.partitionBy("e").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = settle(first.groupBy("e").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn("class_id", F.col("members")[0]))
     asked = settle(usable(queries).withColumnRenamed("vec_id", "query_id").join(classes.select("e", "class_id"), "e").select("query_id", "class_id"))
-    wanted = asked.select("class_id").distinct()
+    wanted = settle(classes.select("class_id", "e").join(asked.select("class_id").distinct(), "class_id", "left_semi"))
     norm = lambda e: F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, b: a + b * b))
-    n, most = classes.agg(F.count(F.lit(1)), F.max(norm(F.col("e")))).first()
-    n_asked = wanted.count()
-    schema = "class_id long, near_id long, score double"
-    if not n or not n_asked:
-        found = spark.createDataFrame([], schema)
+    n, most = classes.agg(F.count(F.lit(1)), F.max(norm(F.col("e").cast("array<double>")))).first()
+    if not n or not wanted.limit(1).count():
+        found = spark.createDataFrame([], FOUND)
     else:
-        near = {}
+        near, most = {}, float(most)
         sample = classes.select("class_id", "e").orderBy(F.xxhash64("class_id"), "class_id").limit(SAMPLE).collect()
         for dim in {len(r["e"]) for r in sample}:
-            near[dim] = expected(np.array([r["e"] for r in sample if len(r["e"]) == dim]), float(most), k * len(sample) / n)
-        blocks = -(-n // BLOCK)
-
-        def scored(wanted: DataFrame, n_asked: int, every: bool) -> DataFrame:
-            """The best of each block for each of the classes ``wanted``."""
-            query_blocks = -(-n_asked // QUERIES)
-
-            def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
-                out = [], [], []
-                if left.num_rows and right.num_rows:
-                    dim = key[0].as_py()
-                    x, q = (np.array(t.column(c).combine_chunks().flatten()).reshape(t.num_rows, dim) for t, c in ((left, "e"), (right, "qe")))
-                    tables = Tables(dim, float(most), near.get(dim, float(most)))
-                    for query, got, s in search_block(tables, left.column("class_id").to_numpy(), x, right.column("query").to_numpy(), q, k + 1, every):
-                        out[0].append(np.full(len(got), query))
-                        out[1].append(got)
-                        out[2].append(s)
-                cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-                return pa.table({"class_id": pa.array(cols[0].astype(np.int64)), "near_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(float))})
-
-            dealt = F.pmod(F.xxhash64("class_id"), F.lit(blocks))
-            left = classes.select("class_id", "e", F.size("e").alias("dim"), dealt.alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-            again = classes.select(F.col("class_id").alias("query"), F.col("e").alias("qe"))
-            right = again.join(wanted.withColumnRenamed("class_id", "query"), "query", "left_semi").select(
-                "query", "qe", F.size("qe").alias("qdim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qvb"),
-                F.pmod(F.xxhash64("query", F.lit(1)), F.lit(query_blocks)).alias("qqb"),
-            )
-            return left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("qdim", "qvb", "qqb")).applyInArrow(task, schema)
-
-        found = settle(scored(wanted, n_asked, False))
+            near[dim] = expected(np.array([r["e"] for r in sample if len(r["e"]) == dim], float), most, k * len(sample) / n)
+
+        def make(dim: int) -> Tables:
+            return Tables(dim, most, near.get(dim, most))
+
+        found = settle(hashed(classes, wanted, n, make, k + 1).groupBy("class_id", "near_id").agg(F.max("score").alias("score")))
         per_dim = classes.groupBy(F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("there"))
         have = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("have"))
-        sized = classes.select("class_id", F.size("e").alias("dim")).join(wanted, "class_id", "left_semi").join(per_dim, "dim").join(have, "class_id", "left")
-        short = settle(sized.where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k + 1), "there")).select("class_id"))
+        sized = wanted.withColumn("dim", F.size("e")).join(per_dim, "dim").join(have, "class_id", "left")
+        short = settle(sized.where(F.coalesce("have", F.lit(0)) < F.least(F.lit(k + 1), "there")).select("class_id", "e"))
         n_short = short.count()
         if n_short:
-            found = found.join(short, "class_id", "left_anti").unionByName(scored(short, n_short, True))
+            found = found.join(short, "class_id", "left_anti").unionByName(everything(classes, short, n, n_short, most, k + 1))
     # of each class, the k + 1 best: the query itself may be one of them
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("score"), "near_id"))).where(F.col("r") <= k + 1).drop("r")
     members = classes.select(F.col("class_id").alias("near_id"), F.explode("members").alias("vec_id"))
