@@ -230,3 +230,47 @@ def test_secrets_pluses_joins_annotations_and_subscripts():
         start = time.process_time()
         secrets.find_spans(long)
         assert time.process_time() - start < 10, long[:10]
+
+
+def test_mixing_keeps_large_ids_and_equal_rows(spark, monkeypatch):
+    """Ids past 2^53 beside a null one; equal rows, and rows that differ in other columns only."""
+    monkeypatch.setattr(mixing, "CHUNK", 3)
+    big = [(2**60 + i, f"w{i} " * (i + 1), "en", "s", 0, 0, "", "", "") for i in range(40)]
+    rows = [*big, (None, "no id", "en", "s", 0, 0, "", "", ""), *[(5, "a b c", "en", "t", 0, 0, "", "", "")] * 25, *[(5, "a b c", "de", "t", 0, 0, "", "", "")] * 7]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    per = Counter()
+    for r in got:
+        per[r["doc_id"]] += r["copies"]
+        assert 0 <= r["copies"] <= 2
+    taken = mixing.take(frame(spark, rows)).collect()
+    assert Counter(r["doc_id"] for r in taken) == Counter({k: n for k, n in per.items() if n}) and {r["lang"] for r in taken if r["doc_id"] == 5} == {"en", "de"}
+    equal = [r for r in got if r["doc_id"] == 5]
+    assert abs(sum(r["taken"] for r in equal) - equal[0]["target"]) <= 3
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"site{i % 400:03d}", 0, 0, "", "", "") for i in range(1200)]
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    want = water_fill(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes))})
+    got = {r["source"]: r["target"] for r in mixing.mix(frame(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
+def test_quality_cutoffs_follow_the_spread(spark):
+    """The same document passes in a source whose documents differ widely and fails in one whose documents are alike; no slack takes part."""
+    wide = [f"{'v' * (2 + i % 14)}{i}" for i in range(900)]
+    tight = [f"word{i:04d}" for i in range(900)] + ["longerword"]
+    rows = [(i, prose(i, 60 + i % 40, [w for w in wide if len(w) % 9 == i % 9] or wide), "en", "wide", 0, 0, "", "", "") for i in range(120)]
+    rows += [(1000 + i, prose(i, 60 + i % 40, tight), "en", "tight", 0, 0, "", "", "") for i in range(120)]
+    odd = prose(7, 80, [w + "xyz" for w in tight])
+    rows += [(5000, odd, "en", "wide", 0, 0, "", "", ""), (5001, odd, "en", "tight", 0, 0, "", "", "")]
+    got = rows_by_id(quality.verdicts(frame(spark, rows)))
+    of = lambda i: (got[i]["word_len_min"], got[i]["word_len_max"])
+    assert of(0)[1] - of(0)[0] > 2 * (of(1000)[1] - of(1000)[0])
+    assert got[5000]["kept"] and not got[5001]["kept"]
+    sizes = sorted(sum(map(len, r[1].split())) / len(r[1].split()) for r in rows if r[3] == "wide")
+    hi, mid = sizes[math.ceil(0.9 * len(sizes)) - 1], sizes[math.ceil(0.5 * len(sizes)) - 1]
+    assert math.isclose(of(0)[1], mid + quality.SPREAD * (hi - mid), rel_tol=0.1)
