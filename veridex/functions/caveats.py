@@ -14,14 +14,22 @@ RESULT = StructType([StructField("code", IntegerType()), StructField("missing",
 
 
 def attach(df: DataFrame, schema: Schema, stored: str = "caveat_context", request: str = "context", name: str = "caveat_name") -> DataFrame:
-    """Adds ``code``, ``missing`` and ``err``: TRUE without a caveat. Caveats over plain numbers stay in the JVM; if others exist, the rows with those alone pass through Arrow."""
+    """Adds ``code``, ``missing`` and ``err``: TRUE without a caveat. Caveats over numbers, strings and booleans stay in the JVM; if others exist, the rows with those alone pass through Arrow."""
     none = F.array().cast("array<string>")
     if not schema.caveats:
         return df.withColumn("code", F.lit(cel.TRUE)).withColumn("missing", none).withColumn("err", F.when(F.col(name).isNotNull(), F.concat(F.lit("unknown caveat "), F.col(name)))).withColumn(
             "code", F.when(F.col("err").isNotNull(), F.lit(cel.OPEN)).otherwise(F.col("code"))
         )
     compiled = {n: cel.compile_caveat(c) for n, c in schema.caveats.items()}
-    fast = {n: got for n, c in compiled.items() if (got := cel.to_columns(c, F.col(stored), F.col(request)))}
+    columns, fast, extra = df.columns, {}, {}
+    for k, (n, c) in enumerate(compiled.items()):
+        given = cel.inputs(c, F.col("_stored"), F.col("_request"), f"_p{k}_")
+        if given is not None and (got := cel.to_columns(c, f"_p{k}_", F.col("_broken"))):
+            fast[n] = got
+            extra |= given
+    if fast:  # contexts are parsed once a row, parameters read once, and expressions stay small
+        (own, bad), (asked, worse) = cel.parsed(F.col(stored)), cel.parsed(F.col(request))
+        df = df.withColumns({"_stored": own, "_request": asked, "_broken": bad | worse}).withColumns(extra)
     slow = sorted(set(compiled) - set(fast))
     code: Column = F.when(F.col(name).isNull(), F.lit(cel.TRUE))
     missing: Column = F.when(F.col(name).isNull(), none)
@@ -39,5 +47,5 @@ def attach(df: DataFrame, schema: Schema, stored: str = "caveat_context", reques
         rest = df.where(~F.coalesce(F.col(name).isin(slow), F.lit(False)))
         own = df.where(F.col(name).isin(slow)).withColumn("_r", evaluated(F.col(name), F.col(stored), F.col(request)))
         own = own.withColumn("code", F.col("_r.code")).withColumn("missing", F.coalesce(F.col("_r.missing"), none)).withColumn("err", F.col("_r.err")).drop("_r")
-        return rest.withColumn("code", code.otherwise(F.lit(cel.OPEN))).withColumn("missing", missing.otherwise(none)).withColumn("err", err).unionByName(own)
-    return df.withColumn("code", code.otherwise(F.lit(cel.OPEN))).withColumn("missing", missing.otherwise(none)).withColumn("err", err)
+        return rest.withColumn("code", code.otherwise(F.lit(cel.OPEN))).withColumn("missing", missing.otherwise(none)).withColumn("err", err).unionByName(own).select(*columns, "code", "missing", "err")
+    return df.withColumns({"code": code.otherwise(F.lit(cel.OPEN)), "missing": missing.otherwise(none), "err": err}).select(*columns, "code", "missing", "err")
