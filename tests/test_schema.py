@@ -66,3 +66,8 @@ def test_plans():
     assert not monotone(plan) and monotone(compile_member(s, "nation", "view"))
     assert ("nation", "view") in analysis.flattened(s) and ("order", "view") not in analysis.flattened(s)
     assert ("order", "edit") in analysis.computable_permissions(s, "user")
+
+
+def test_terminators_and_typed_permissions():
+    got = parse("definition user {}; definition org { relation member: user; permission view: user | org#member = member; };")
+    assert got == parse("definition user {} definition org { relation member: user permission view = member }")

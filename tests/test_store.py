@@ -113,6 +113,85 @@ def test_watch_resumes_and_checkpoints(spark, tmp_path):
         watch.wanted(["document"], [{}])
 
 
+def test_of_two_writers_one_wins(spark, st):
+    import threading
+
+    head, got = st.head, []
+
+    def write(i):
+        other = store.Store(spark, st.root)
+        try:
+            got.append(other.write(rows(spark, ("create", "document:one#viewer@user:tom")), expected=head))
+        except store.StoreError as e:
+            got.append(e.kind)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(map(str, got))[1:] == ["conflict"] * 2 or sorted(x for x in map(str, got) if not x.isdigit()) in (["already_exists", "conflict"], ["already_exists"] * 2)
+    assert sum(isinstance(x, int) for x in got) == 1 and st.log().count() == 1 and not [n for n in st._names() if n < 0]
+    assert st._claim(f"{st.root}/commits/{head:020d}.json", b"{}") is False  # whoever comes later never replaces it
+
+
+def test_bulk_import_export_and_compaction(spark, st, tmp_path):
+    many = spark.range(2500).select(F.concat(F.lit("document:d"), F.lpad("id", 5, "0"), F.lit("#viewer@user:tom")).alias("line"))
+    a = st.import_bulk(many.select(*tuples.parse(F.col("line"))))
+    for bad in (many.limit(1), many.limit(1).unionAll(many.limit(1)).select(F.regexp_replace("line", "d0", "new").alias("line"))):
+        with pytest.raises(store.StoreError) as e:
+            st.import_bulk(bad.select(*tuples.parse(F.col("line"))))
+        assert e.value.kind == "already_exists" and st.head == a
+    page, cursor = st.export_page(size=1000, resource_type="document")
+    first = [r["tuple"] for r in page.collect()]
+    b = st.delete(tuples.relationships("document", resource_ids=["d02400"]))[0]
+    seen = list(first)
+    while cursor:
+        page, cursor = st.export_page(cursor, 1000, resource_type="document")
+        seen += [r["tuple"] for r in page.collect()]
+    assert seen == sorted(seen) and len(seen) == 2500  # the cursor's revision, not the head's
+    _, cursor = st.export_page(size=10)
+    for c, f in ((cursor, {"relation": "viewer"}), ("x", {})):
+        with pytest.raises(store.StoreError):
+            st.export_page(c, 10, **f)
+    st.export_bulk(f"{tmp_path}/out")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/out").orderBy("value").collect()] == [x for x in seen if "d02400" not in x]
+    st.collect_garbage(b)
+    assert len(list((tmp_path / "store" / "log").glob("r*"))) == 0 and st.snapshot().count() == 2499
+    c = st.write(rows(spark, ("delete", "document:d00001#viewer@user:tom"), ("touch", "document:d00002#viewer@user:tom")), metadata={"by": "me"})
+    assert st.snapshot(b).count() == 2499 and st.snapshot(c).count() == 2498 and st.metadata(c) == {"by": "me"} and st.metadata(b) is None
+    st.collect_garbage(c)
+    assert st.snapshot().count() == 2498
+
+
+def test_preconditions_in_order_and_delete_with_updates(spark, st):
+    st.write(rows(spark, ("create", "document:one#viewer@user:tom"), ("create", "document:two#viewer@user:tom")))
+    no, yes = tuples.relationships("document", resource_ids=["none"]), tuples.relationships("document", resource_ids=["one"])
+    with pytest.raises(store.StoreError, match="must_not_match 0"):
+        st.write(rows(spark, ("touch", "document:new#viewer@user:tom")), preconditions=[("must_not_match", yes), ("must_match", no)])
+    st.write(rows(spark, ("touch", "document:one#viewer@user:ann")), delete=tuples.relationships("document"))
+    assert texts(st.snapshot()) == ["document:one#viewer@user:ann"]
+    with pytest.raises(store.StoreError) as e:
+        st.write(rows(spark, ("touch", "document:new#viewer@user:tom")), schema="another")
+    assert e.value.kind == "conflict"
+
+
+def test_following_a_store(spark, st, tmp_path):
+    revs = [st.write(rows(spark, ("touch", f"document:d{i}#viewer@user:tom"))) for i in range(3)]
+    # rows without a commit are never published
+    rows(spark, ("touch", "document:ghost#viewer@user:tom")).withColumn("rev", F.lit(revs[-1] + 5)).select(*[c.split()[0] for c in store.LOG.split(", ")]).write.parquet(f"{st.root}/log/r{revs[-1] + 5:020d}-lost")
+
+    def go():
+        watch.follow(st, f"{tmp_path}/sink", f"{tmp_path}/state", content=("relationships", "schema", "checkpoints"), files_per_batch=2).awaitTermination()
+        return [(r["batch"], r["rev"], r["kind"]) for r in spark.read.parquet(f"{tmp_path}/sink").orderBy("batch", "rev", F.col("kind") == "checkpoint").collect()]
+
+    got = go()
+    assert [r for _, r, k in got if k == "touch"] == revs and [k for _, _, k in got].count("schema") == 1
+    marks = [(b, r) for b, r, k in got if k == "checkpoint"]
+    assert marks == sorted(marks) and marks[-1][1] == revs[-1]
+    assert all(r <= dict(marks)[b] and all(r > m for c, m in marks if c < b) for b, r, _ in got)
+    last = st.write(rows(spark, ("delete", "document:d0#viewer@user:tom")))
+    assert [(r, k) for _, r, k in go()][-2:] == [(last, "delete"), (last, "checkpoint")]
+
+
 def test_tokens_and_consistency():
     t = store.token("me", 42, "abc")
     assert store.read_token(t, "me") == ("valid", 42) and store.read_token(t, "you") == ("mismatched", 42)
@@ -122,3 +201,9 @@ def test_tokens_and_consistency():
     assert store.resolve_revision("at_least", 100, 97, window_ns=10, asked=95) == 95
     with pytest.raises(store.StoreError):
         store.resolve_revision("exact", 100, 97, asked=101)
+
+
+def test_object_text(spark):
+    df = spark.createDataFrame([("document:one#viewer",), ("document:one",), ("document:*",), ("doc ument:x",), ("document:" + "x" * 1025,)], "t string")
+    got = [tuple(r) for r in df.select(*tuples.parse_object(F.col("t"))).collect()]
+    assert got == [("document", "one", "viewer"), ("document", "one", "..."), ("document", "*", "..."), (None, None, None), (None, None, None)]

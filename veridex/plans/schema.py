@@ -105,7 +105,7 @@ class Schema:
 
 
 LEX = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<space>\s+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:/[A-Za-z_][A-Za-z0-9_]*)*)|(?P<sign>->|\.\.\.|[{}():|#*+&\-=,.<>])|(?P<odd>.)",
+    r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<space>\s+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:/[A-Za-z_][A-Za-z0-9_]*)*)|(?P<sign>->|\.\.\.|[{}():|#*+&\-=,.<>;])|(?P<odd>.)",
     re.DOTALL,
 )
 PATTERN_TYPE = re.compile(r"^([a-z][a-z0-9_]{1,61}[a-z0-9]/)*[a-z][a-z0-9_]{1,62}[a-z0-9]$")
@@ -189,6 +189,8 @@ class _Reader:
 def parse(text: str) -> Schema:
     r, schema, uses = _Reader(text), Schema(), []
     while r.tokens[r.i][0] != "end":
+        if r.maybe(";"):
+            continue
         comment, word = r.comment, r.name("definition, caveat or use")
         if word == "use":
             uses.append(r.name())
@@ -230,6 +232,8 @@ def _definition(r: _Reader, comment: str, uses) -> Definition:
     d = Definition(r.name(), comment=comment)
     r.take("{")
     while not r.maybe("}"):
+        if r.maybe(";"):
+            continue
         note, word = r.comment, r.name("relation, permission or '}'")
         name = r.name()
         if name in d.members:
@@ -241,6 +245,10 @@ def _definition(r: _Reader, comment: str, uses) -> Definition:
                 allowed.append(_allowed(r))
             d.members[name] = Member(name, allowed=tuple(allowed), comment=note)
         elif word == "permission":
+            if r.maybe(":"):  # subject types the author expects; they bind nothing
+                _allowed(r)
+                while r.maybe("|"):
+                    _allowed(r)
             r.take("=")
             d.members[name] = Member(name, expr=_exclusion(r, uses), comment=note)
         else:

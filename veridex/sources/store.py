@@ -1,27 +1,33 @@
 """The versioned edge store: an append-only log of revisions, folded to validity intervals.
 
 A revision is a folder of Parquet rows and one small commit file, written last; what has no commit file does not exist.
-One writer commits at a time (a stale head is refused), readers pin a revision. The state at a revision is a filter on
-the fold, and the fold is one window over the log, so fold(log) is the union of the folds of its keys.
+The commit file is named by the revision it follows and made only if there is none of that name: of two writers that
+started at one head, the first wins and the other gets a conflict. Readers pin a revision. The state at a revision is a filter on
+the fold, and the fold is one window over the log, so fold(log) is the union of the folds of its keys. Garbage collection
+writes the state at its floor as a table, which reads then start from, and removes the log up to there.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import time
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.analysis import schema_hash
 from ..plans.schema import Allowed, Schema, SchemaError, parse, validate
-from .tuples import KEY, SCHEMA, text
+from .tuples import KEY, SCHEMA, relationships, text
 
 LOG = "rev bigint, op string, " + SCHEMA
 MAX_UPDATES = MAX_PRECONDITIONS = 1000
-MAX_CAVEAT_CONTEXT, MAX_REQUEST_CONTEXT, MAX_METADATA = 25_000, 4096, 65_000
+MAX_CAVEAT_CONTEXT, MAX_METADATA = 25_000, 65_000
+MAX_PAGE = 10_000
 
 
 class StoreError(RuntimeError):
@@ -159,50 +165,98 @@ class Store:
         self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self) -> list[int]:
+    def _names(self) -> list[int]:
         where = self._fs_path(f"{self.root}/commits")
         if not self._fs.exists(where):
             return []
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(where))
+        return sorted(int(n.split(".")[0]) for s in self._fs.listStatus(where) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+    def _read(self, name: int) -> dict:
+        stream = self._fs.open(self._fs_path(f"{self.root}/commits/{name:020d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def commits(self) -> list[int]:
+        """All revisions in order. A file's name is the revision before its own, so the names and the last file's content are enough."""
+        names = self._names()
+        return [*names[1:], self._read(names[-1])["rev"]] if names else []
 
     @property
     def head(self) -> int:
-        return (self._commits() or [0])[-1]
+        return (self.commits() or [0])[-1]
 
     def _meta(self, rev: int | None = None) -> dict:
-        """Schema text, counters and floor as the last commit up to a revision has them."""
-        revs = [r for r in self._commits() if rev is None or r <= rev]
-        if not revs:
-            return {"schema": "", "counters": {}, "floor": 0}
-        stream = self._fs.open(self._fs_path(f"{self.root}/commits/{revs[-1]:020d}.json"))
+        """Schema text, counters, floor and metadata as the last commit up to a revision has them."""
+        revs, names = self.commits(), self._names()
+        at_ = [n for r, n in zip(revs, names) if rev is None or r <= rev]
+        return self._read(at_[-1]) if at_ else {"schema": "", "counters": {}, "floor": 0}
+
+    def metadata(self, rev: int) -> dict | None:
+        """What a write of that revision said about itself."""
+        meta = self._meta(rev)
+        return meta.get("metadata") if meta.get("rev") == rev else None
+
+    def _claim(self, name: str, content: bytes) -> bool:
+        """Makes a file with its content in one step; False if it is there already."""
+        target, draft = self._fs_path(name), self._fs_path(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(content))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            if self._fs.getUri().getScheme() == "file":  # there a rename would replace the target, a hard link does not
+                local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(target), local(draft))
+                return True
+            if self._fs.exists(target):
+                return False
+            return bool(self._fs.rename(draft, target))  # of stores like HDFS: one step, and refused if the target is there
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
         finally:
-            stream.close()
+            if self._fs.exists(draft):
+                self._fs.delete(draft, False)
 
     def _commit(self, expected: int, rows: DataFrame | None, meta: dict) -> int:
         if self.head != expected:
             raise StoreError("conflict", f"the head is {self.head}, not {expected}")
         rev = max(time.time_ns(), expected + 1)
+        folder = f"r{rev:020d}-{uuid.uuid4().hex[:8]}"
         if rows is not None:
-            rows.select(F.lit(rev).alias("rev"), "op", *[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/log/r{rev:020d}")
-        out = self._fs.create(self._fs_path(f"{self.root}/commits/{rev:020d}.json"), False)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
+            rows.select(F.lit(rev).alias("rev"), "op", *[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/log/{folder}")
+        own = {} if "rev" in meta else {"metadata": meta.get("metadata")}  # metadata of an earlier commit stays with that
+        meta = {k: v for k, v in meta.items() if k != "metadata"} | own | {"rev": rev, "rows": folder if rows is not None else None}
+        if not self._claim(f"{self.root}/commits/{expected:020d}.json", json.dumps(meta).encode()):
+            if rows is not None:
+                self._fs.delete(self._fs_path(f"{self.root}/log/{folder}"), True)
+            raise StoreError("conflict", f"another write followed {expected}")
         return rev
 
     def log(self, after: int = 0, upto: int | None = None) -> DataFrame:
+        revs = {r for r in self.commits() if r > after and (upto is None or r <= upto)}
         where = self._fs_path(f"{self.root}/log")
-        revs = [r for r in self._commits() if r > after and (upto is None or r <= upto)]
-        have = {s.getPath().getName() for s in self._fs.listStatus(where)} if self._fs.exists(where) else set()
-        paths = [f"{self.root}/log/r{r:020d}" for r in revs if f"r{r:020d}" in have]
+        names = [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        found = [n for n in names if n.startswith("r") and int(n[1:21]) in revs]
+        if len(found) > len({n[1:21] for n in found}):  # two writers in one nanosecond: the commit says whose rows count
+            at_ = dict(zip(self.commits(), self._names()))
+            found = [n for n in found if self._read(at_[int(n[1:21])])["rows"] == n]
+        paths = [f"{self.root}/log/{n}" for n in sorted(found)]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
     def snapshot(self, rev: int | None = None) -> DataFrame:
+        meta = self._meta()
         rev = self.head if rev is None else rev
-        if rev < self._meta()["floor"]:
+        floor = meta["floor"]
+        if rev < floor:
             raise StoreError("expired_revision", f"{rev} is below the floor")
-        return at(fold(self.log(upto=rev)), rev).drop("created_rev", "deleted_rev")
+        log = self.log(floor, rev)
+        if meta.get("base"):
+            log = self.spark.read.schema(LOG).parquet(f"{self.root}/base/{meta['base']}").unionByName(log)
+        return at(fold(log), rev).drop("created_rev", "deleted_rev")
 
     def schema(self, rev: int | None = None) -> Schema:
         return parse(self._meta(rev)["schema"])
@@ -216,11 +270,18 @@ class Store:
                 raise StoreError("unsafe_schema", f"relationships of {left[0]['resource_type']}#{left[0]['resource_relation']} remain")
         return self._commit(head, None, meta | {"schema": text_, "hash": schema_hash(new)})
 
-    def write(self, updates: DataFrame, must_match=(), must_not_match=(), expected: int | None = None) -> int:
-        """updates: op (create, touch, delete) and the edge columns. Preconditions: filters on the live rows. All or nothing."""
+    def write(self, updates: DataFrame, must_match=(), must_not_match=(), expected: int | None = None, preconditions=(), metadata: dict | None = None, delete=None, schema: str | None = None) -> int:
+        """updates: op (create, touch, delete) and the edge columns. All or nothing.
+
+        preconditions: ("must_match" or "must_not_match", filter on the live rows), tested in their order, after those of the two lists.
+        delete: a filter whose matches go in the same revision. schema: the hash of the schema that the writer has seen.
+        """
         head = self.head if expected is None else expected
-        if len(must_match) + len(must_not_match) > MAX_PRECONDITIONS:
+        tests = [*(("must_match", c) for c in must_match), *(("must_not_match", c) for c in must_not_match), *preconditions]
+        if len(tests) > MAX_PRECONDITIONS:
             raise StoreError("invalid", "too many preconditions")
+        if metadata is not None and len(json.dumps(metadata).encode()) > MAX_METADATA:
+            raise StoreError("invalid", "too much metadata")
         facts = updates.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*KEY)), F.max(F.octet_length("caveat_context"))).first()
         if facts[0] > MAX_UPDATES:
             raise StoreError("invalid", "too many updates")
@@ -228,21 +289,58 @@ class Store:
             raise StoreError("invalid", "an update repeats a relationship")
         if (facts[2] or 0) > MAX_CAVEAT_CONTEXT:
             raise StoreError("invalid", "a caveat context is too large")
+        meta = self._meta()
+        if schema is not None and meta.get("hash") != schema:
+            raise StoreError("conflict", "the schema is another by now")
         bad = violations(self.spark, self.schema(), updates).limit(1).collect()
         if bad:
             raise StoreError("invalid", f"not allowed by the schema: {bad[0].asDict()}")
         live = self.snapshot()
-        for i, c in enumerate(must_match):
-            if not live.where(c).limit(1).count():
-                raise StoreError("precondition", f"must_match {i} has no match")
-        for i, c in enumerate(must_not_match):
-            if live.where(c).limit(1).count():
-                raise StoreError("precondition", f"must_not_match {i} has a match")
+        for i, (kind, c) in enumerate(tests):
+            if bool(live.where(c).limit(1).count()) != (kind == "must_match"):
+                raise StoreError("precondition", f"{kind} {i} has {'no' if kind == 'must_match' else 'a'} match")
         if conflicts(live, updates.where("op = 'create'")).limit(1).count():
             raise StoreError("already_exists", "a relationship to create exists")
         gone = updates.where("op = 'delete'").join(live.select(*KEY), list(KEY), "left_semi")  # of what is not there, nothing is deleted
         rows = updates.where("op <> 'delete'").withColumn("op", F.lit("touch")).unionByName(gone.select(*updates.columns))
-        return self._commit(head, rows, self._meta())
+        if delete is not None:
+            swept = live.where(delete).join(updates.select(*KEY), list(KEY), "left_anti").withColumn("op", F.lit("delete"))
+            rows = rows.unionByName(swept.select(*rows.columns))
+        return self._commit(head, rows, {k: v for k, v in meta.items() if k not in ("rev", "rows", "metadata")} | ({"metadata": metadata} if metadata is not None else {}))
+
+    def import_bulk(self, edges: DataFrame, expected: int | None = None) -> int:
+        """Creates all edges in one revision, however many, or none: each must fit the schema, be there once, and not be live."""
+        head = self.head if expected is None else expected
+        if violations(self.spark, self.schema(), edges).limit(1).count():
+            raise StoreError("invalid", "an edge is not allowed by the schema")
+        if edges.where(F.octet_length("caveat_context") > MAX_CAVEAT_CONTEXT).limit(1).count():
+            raise StoreError("invalid", "a caveat context is too large")
+        if conflicts(self.snapshot(), edges).limit(1).count():
+            raise StoreError("already_exists", "an edge exists or comes twice")
+        return self._commit(head, edges.withColumn("op", F.lit("touch")), self._meta())
+
+    def export_page(self, cursor: str | None = None, size: int = 1000, **filter_) -> tuple[DataFrame, str | None]:
+        """One page of the edges in the order of their texts, and the cursor of the next (None: no more). A cursor pins the revision and the filter."""
+        if not 0 < size <= MAX_PAGE:
+            raise StoreError("invalid", f"a page has 1 to {MAX_PAGE} edges")
+        asked = hashlib.sha256(json.dumps(filter_, sort_keys=True).encode()).hexdigest()[:16]
+        rev, last = self.head, None
+        if cursor is not None:
+            try:
+                version, owner, rev_, hash_, last = base64.b64decode(cursor, validate=True).decode().split("\n")
+            except ValueError:
+                raise StoreError("invalid", "no cursor") from None
+            if (version, owner, hash_) != ("x1", self.id, asked):
+                raise StoreError("invalid", "a cursor of another store or request")
+            rev = int(rev_)
+        rows = read_page(self.snapshot(rev).where(relationships(**filter_)), last, size)
+        end = rows.agg(F.count(F.lit(1)), F.max("tuple")).first()
+        return rows, base64.b64encode(f"x1\n{self.id}\n{rev}\n{asked}\n{end[1]}".encode()).decode() if end[0] == size else None
+
+    def export_bulk(self, path: str, rev: int | None = None) -> None:
+        """All edges at a revision as text files, in order over the files, by a distributed sort."""
+        got = self.snapshot(rev)
+        got.select(text(got).alias("value")).orderBy("value").write.text(path)
 
     def delete(self, condition, limit: int | None = None, partial: bool = False) -> tuple[int, bool]:
         """Deletes by filter, in the order of keys up to a limit. Returns the revision and whether the limit was reached."""
@@ -268,13 +366,26 @@ class Store:
         return self._commit(self.head, None, meta | {"counters": {k: v for k, v in meta["counters"].items() if k != name}})
 
     def count(self, name: str) -> int:
-        from .tuples import relationships
-
         return self.snapshot().where(relationships(**self._meta()["counters"][name])).count()
 
     def collect_garbage(self, floor: int) -> int:
-        """Compacts the log up to the floor into one revision's worth of rows, and refuses older reads from then on."""
-        return self._commit(self.head, None, self._meta() | {"floor": floor})
+        """Writes the state at the floor as a table, refuses older reads from then on, and removes the log up to the floor. Rows that later revisions see keep their revisions."""
+        meta, head = self._meta(), self.head
+        if not meta["floor"] <= floor <= head:
+            raise StoreError("invalid", f"the floor lies between {meta['floor']} and {head}")
+        log = self.log(meta["floor"], floor)
+        if meta.get("base"):
+            log = self.spark.read.schema(LOG).parquet(f"{self.root}/base/{meta['base']}").unionByName(log)
+        base = f"r{floor:020d}-{uuid.uuid4().hex[:8]}"
+        state = at(fold(log), floor).withColumn("op", F.lit("touch")).withColumnRenamed("created_rev", "rev")
+        state.select(*[c.split()[0] for c in LOG.split(", ")]).write.parquet(f"{self.root}/base/{base}")
+        rev = self._commit(head, None, meta | {"floor": floor, "base": base})
+        for folder, keep in (("log", lambda n: int(n[1:21]) > floor), ("base", lambda n: n == base)):
+            where = self._fs_path(f"{self.root}/{folder}")
+            for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
+                if s.getPath().getName().startswith("r") and not keep(s.getPath().getName()):
+                    self._fs.delete(s.getPath(), True)
+        return rev
 
 
 def resolve_revision(kind: str, head: int, now_ns: int, window_ns: int = 5_000_000_000, asked: int | None = None, floor: int = 0) -> int:
