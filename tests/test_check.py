@@ -205,3 +205,10 @@ def test_empty_items(spark):
     schema = parse(TEXT)
     none = spark.createDataFrame([], "item_id string, resource_type string, resource_id string, permission string, subject_type string, subject_id string, subject_relation string")
     assert check.bulk_check(frame(spark, []), schema, none).collect() == []
+
+
+def test_wildcard_survives_a_ban_of_any_legal_name(spark):
+    schema = parse("definition user {} definition doc { relation viewer: user | user:* relation banned: user permission view = viewer - banned }")
+    rows = [("doc", "one", "viewer", "user", "*", ELLIPSIS, None, None, None)] + [("doc", "one", "banned", "user", u, ELLIPSIS, None, None, None) for u in ("any/other|name", "fresh", "x=y")]
+    got = lookup.lookup_subjects(spark.createDataFrame(rows, SCHEMA), schema, spark.createDataFrame([("doc", "one")], "resource_type string, resource_id string"), "view", "user").collect()
+    assert [(r["subject_id"], r["is_wildcard"], r["excluded"]) for r in got] == [("*", True, "any/other|name,fresh,x=y")]
