@@ -26,15 +26,27 @@ ONR = rf"^({_TYPE}):({_ID}|\*)(?:#({_REL}|\.\.\.))?$"
 
 
 def parse(text: Column) -> list[Column]:
-    """The edge columns of canonical text; all null where the text is no tuple."""
-    ok = text.rlike(TUPLE)
-    part = lambda k: F.when(ok, F.nullif(F.regexp_extract(text, TUPLE, k), F.lit("")))
-    context = F.when(F.try_parse_json(part(8)).isNotNull(), part(8))
-    fine = ok & (F.length(part(2)) <= MAX_ID) & (F.length(part(5)) <= MAX_ID) & (part(8).isNull() | context.isNotNull()) & ~((part(5) == WILDCARD) & F.coalesce(part(6) != ELLIPSIS, F.lit(False)))
-    cols = {k: part(i + 1) for i, k in enumerate(KEY)}
-    cols["subject_relation"] = F.coalesce(part(6), F.when(ok, F.lit(ELLIPSIS)))
-    cols |= {"caveat_name": part(7), "caveat_context": context, "expires_at": part(9).try_cast("timestamp")}
-    return [F.when(fine, c).alias(k) for k, c in cols.items()]
+    """The edge columns of canonical text; all null where the text is no tuple. The pattern runs once a row and leaves its groups apart."""
+    groups = F.split(F.regexp_replace(text, TUPLE, "\x01".join(f"${k}" for k in range(1, 10))), "\x01", -1)
+
+    def row(parts: Column) -> Column:
+        part = lambda k: F.nullif(F.get(parts, k - 1), F.lit(""))
+        context = F.when(F.try_parse_json(part(8)).isNotNull(), part(8))
+        fine = (F.size(parts) == 9) & (F.length(part(2)) <= MAX_ID) & (F.length(part(5)) <= MAX_ID) & (part(8).isNull() | context.isNotNull()) & ~((part(5) == WILDCARD) & F.coalesce(part(6) != ELLIPSIS, F.lit(False)))
+        cols = {k: part(i + 1) for i, k in enumerate(KEY)}
+        cols["subject_relation"] = F.coalesce(part(6), F.lit(ELLIPSIS))
+        cols |= {"caveat_name": part(7), "caveat_context": context, "expires_at": part(9).try_cast("timestamp")}
+        return F.when(fine, F.struct(*(c.alias(k) for k, c in cols.items())))
+
+    got = F.get(F.transform(F.array(groups), row), 0)
+    return [got.getField(c.split()[0]).alias(c.split()[0]) for c in SCHEMA.split(", ")]
+
+
+def parse_object(text: Column) -> list[Column]:
+    """Type, id and relation of an object's text (no relation: the ellipsis); all null where it is none."""
+    ok = text.rlike(ONR) & (F.length(F.regexp_extract(text, ONR, 2)) <= MAX_ID)
+    part = lambda k: F.when(ok, F.regexp_extract(text, ONR, k))
+    return [part(1).alias("type"), part(2).alias("id"), F.when(part(3) == "", F.lit(ELLIPSIS)).otherwise(part(3)).alias("relation")]
 
 
 def read_text(spark, path: str) -> tuple[DataFrame, DataFrame]:

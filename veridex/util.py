@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it; one of our own only where it names none."""
+    """The folder all machines share, as the session names it; one of our own only where it names none and there is but one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return found or "file://" + os.path.join(tempfile.gettempdir(), "veridex_checkpoints")
 
 
