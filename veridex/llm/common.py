@@ -25,11 +25,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a private one only where the session names none (tests)."""
+    """The folder all machines share; a private one only where the session names none and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = "file://" + os.path.join(tempfile.gettempdir(), "veridex_checkpoints")
     return found
