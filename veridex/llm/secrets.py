@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and assignments found by lexing.
 
 The lexer reads source and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``,
-``name => x``, ``name[i] = x``, ``name: type = x``, ``name = name = x``; ``<name>x</name>`` is left alone) into
-(name, literal) pairs in the order of the text. Constants are propagated: a bare identifier on the right is replaced by
-the literal it was last given, a sum of literals and known names is joined (a plus sign within a bare literal joins only
-known names or quotes). A pair scores by how sensitive its name is and how random its literal looks; from ``THRESHOLD``
+``name => x``, ``name[i] = x``, ``name: type = x``, ``name = name = x``, ``<name>x</name>``) into (name, literal) pairs in
+the order of the text. Strings may be quoted by ``"``, ``'`` or a backtick, hold escapes, or stand in triple quotes over lines.
+Constants are propagated: a bare identifier on the right is replaced by the literal it was last given, a sum of literals
+and known names is joined (a plus sign within a bare literal joins only known names or quotes), and of a call the
+strings and known names among the arguments are taken, never the function's name. What a function assigns is known up to
+its end only, which is the next line that is indented no deeper than its header. A pair scores by how sensitive its name is and how random its literal looks; from ``THRESHOLD``
 on, the place of each of the literal's pieces in the text is reported as a span of kind ``pair``. For a propagated name
 that is the place where the literal was written.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import chain
 from math import log2
 
 import pyarrow as pa
@@ -32,10 +35,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A name, maybe subscripted or quoted, and its operator. A value's first character follows.
 HEAD = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[[^\[\]\n]*+\])*+)["']?\]?[ \t]*+(?P<op>:=|=>|==|=|:)[ \t]*+(?=["'&*A-Za-z0-9+/_.=\-])"""
+    r"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[[^\[\]\n]*+\])*+)["']?\]?[ \t]*+(?P<op>:=|=>|==|=|:)[ \t]*+(?=["'`&*A-Za-z0-9+/_.=\-])"""
 )
-PIECE = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=\-]+)""")
-LATER = re.compile(r"""[ \t]*\+[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z_][A-Za-z0-9_]*))""")
+QUOTED = r"""\"\"\"(?P<{0}3>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|'''(?P<{0}4>(?:[^'\\]|\\.|'(?!''))*+)'''|"(?P<{0}1>(?:[^"\\\n]|\\.)*+)"|'(?P<{0}2>(?:[^'\\\n]|\\.)*+)'|`(?P<{0}5>(?:[^`\\]|\\.)*+)`"""
+PIECE = re.compile(QUOTED.format("q") + r"""|(?P<bare>[A-Za-z0-9+/_.=\-]+)""", re.DOTALL)
+LATER = re.compile(r"""[ \t]*\+[ \t]*(?:""" + QUOTED.format("q") + r"""|(?P<bare>[A-Za-z_][A-Za-z0-9_]*))""", re.DOTALL)
+#: Inside the brackets of a call, on its line: a string, a name, or a bracket.
+ARGUMENT = re.compile(QUOTED.format("q") + r"""|(?P<bare>[A-Za-z_][A-Za-z0-9_.]*+)(?![A-Za-z0-9_.]*[ \t]*\()|(?P<open>\()|(?P<close>\))|(?P<end>\n)""", re.DOTALL)
+ELEMENT = re.compile(r"""<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:[ \t][^<>]*+)?>[ \t\n]*+([^<>]*[^<> \t\n])[ \t\n]*</\1[ \t]*>""")
+#: The header line of a function or class.
+HEADER = re.compile(r"""^(?P<in>[ \t]*+)(?:(?:export|default|public|private|protected|static|async|pub|final)[ \t]++)*+(?:def|function|func|fn|class)[ \t]++[A-Za-z_(]""", re.MULTILINE)
+LINE = re.compile(r"""^(?P<in>[ \t]*+)[^ \t\n]""", re.MULTILINE)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 #: Where a value may stand: a name or an annotation with an operator and a value of its own.
 TYPE = r"""[&*]*(?:'[a-z]+[ \t]+)?[A-Za-z_][A-Za-z0-9_.\-]*+(?:\[[^\[\]\n]*+(?:\[[^\[\]\n]*+\][^\[\]\n]*+)*+\])?+"""
@@ -69,12 +79,40 @@ def literal_weight(value: str) -> float:
     return min(1.5, 0.25 * (kinds - 1) + 0.25 * min(entropy(value), 4.0))
 
 
-def _value(text: str, at: int, known: dict) -> tuple[int, str, tuple, int] | None:
+def _text(m: re.Match) -> tuple[str, int] | None:
+    """What a quoted part holds, and where it begins; None for a bare part."""
+    k = m.lastgroup
+    return (m[k], m.start(k)) if k and k.startswith("q") else None
+
+
+def _arguments(text: str, at: int, known) -> tuple[int, list[tuple[str, tuple]]]:
+    """The end of a call whose bracket opens at ``at``, no later than its line's, and the strings and known names in it."""
+    out, depth, end = [], 0, at
+    for m in ARGUMENT.finditer(text, at):
+        end = m.end()
+        if got := _text(m):
+            if got[0]:
+                out.append((got[0], ((got[1], got[1] + len(got[0])),)))
+        elif m["bare"]:
+            if m["bare"] in known:
+                out.append(known[m["bare"]])
+        elif m["open"]:
+            depth += 1
+        elif m["close"]:
+            depth -= 1
+            if depth <= 0:
+                break
+        else:
+            break
+    return end, out
+
+
+def _value(text: str, at: int, known) -> tuple[int, str, tuple, int] | None:
     """End, value, places of its pieces, and the end of a bare first piece (else 0); None if there is no literal."""
     first = PIECE.match(text, at)
     if not first:
         return None
-    k, end, run = first.lastindex, first.end(), 0
+    end, run = first.end(), 0
     pieces: list[tuple[str, tuple]] = []
 
     def add(piece: str, s: int) -> None:
@@ -84,12 +122,14 @@ def _value(text: str, at: int, known: dict) -> tuple[int, str, tuple, int] | Non
             pieces.append((piece, ((s, s + len(piece)),)))
 
     unsure = False
-    if k < 3:
-        if first[k]:
-            pieces.append((first[k], ((first.start(k), first.end(k)),)))
+    if got := _text(first):
+        if got[0]:
+            pieces.append((got[0], ((got[1], got[1] + len(got[0])),)))
+    elif text[end : end + 1] == "(" and IDENTIFIER.fullmatch(first["bare"]):
+        end, pieces = _arguments(text, end, known)
     else:
-        bare, run = first[3], end
-        if bare.endswith("+") and (LATER.match(text, end - 1) and (text[end:].lstrip(" \t")[:1] in ('"', "'") or bare[:-1] in known)):
+        bare, run = first["bare"], end
+        if bare.endswith("+") and (LATER.match(text, end - 1) and (text[end:end + 64].lstrip(" \t")[:1] in ('"', "'", "`") or bare[:-1] in known)):
             bare, end = bare[:-1], end - 1
         if "+" in bare and any(x in known for x in bare.split("+")):
             s = at
@@ -101,24 +141,67 @@ def _value(text: str, at: int, known: dict) -> tuple[int, str, tuple, int] | Non
             add(bare, at)
     joined = False
     while p := LATER.match(text, end):
-        k, end, joined = p.lastindex, p.end(), True
-        if k < 3 or p[3] in known:
-            if p[k]:
-                pieces.append(known[p[3]] if k == 3 else (p[k], ((p.start(k), p.end(k)),)))
+        end, joined = p.end(), True
+        if got := _text(p):
+            if got[0]:
+                pieces.append((got[0], ((got[1], got[1] + len(got[0])),)))
+        elif p["bare"] in known:
+            pieces.append(known[p["bare"]])
     if joined and unsure:  # a name without a known literal
         pieces = pieces[1:]
     places = tuple(dict.fromkeys(x for _, where in pieces for x in where))
     return end, "".join(v for v, _ in pieces), places, run
 
 
+def scopes(text: str) -> list[tuple[int, int]]:
+    """(start, end) of functions and classes, by the indentation of their lines."""
+    headers = {m.start(): len(m["in"]) for m in HEADER.finditer(text)}
+    if not headers:
+        return []
+    out, open_ = [], []
+    for m in LINE.finditer(text):
+        deep = len(m["in"])
+        while open_ and deep <= open_[-1][1]:
+            out.append((open_.pop()[0], m.start()))
+        if m.start() in headers:
+            open_.append((m.start(), deep))
+    return sorted([*out, *((s, len(text)) for s, _ in open_)])
+
+
+class Known:
+    """Names with their literals, innermost scope first. Moves on with the text."""
+
+    def __init__(self, text: str):
+        self.coming, self.levels = scopes(text)[::-1], [(-1, {})]
+
+    def move(self, at: int) -> None:
+        while self.coming and self.coming[-1][0] <= at:
+            s, e = self.coming.pop()
+            while len(self.levels) > 1 and self.levels[-1][0] <= s:
+                self.levels.pop()
+            self.levels.append((e, {}))
+        while len(self.levels) > 1 and self.levels[-1][0] <= at:
+            self.levels.pop()
+
+    def __contains__(self, name: str) -> bool:
+        return any(name in names for _, names in self.levels)
+
+    def __getitem__(self, name: str):
+        return next(names[name] for _, names in reversed(self.levels) if name in names)
+
+    def __setitem__(self, name: str, value) -> None:
+        self.levels[-1][1][name] = value
+
+
 def pairs(text: str):
     """(name, value, places) of every assignment, constants propagated; the places bound the pieces of the literal as written."""
-    known: dict[str, tuple[str, tuple]] = {}
+    known = Known(text)
     at = run = 0
     waiting: list[str] = []  # names before the one whose value follows: of annotations and chains
     target = 0
     while m := HEAD.search(text, at):
         start = at = m.end()
+        known.move(m.start())
         if start > target:
             waiting = []
         if m["op"] == "==":
@@ -150,6 +233,13 @@ def pairs(text: str):
                 yield name, value, places
 
 
+def elements(text: str):
+    """(name, value, places) of XML elements that hold text only."""
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            yield m[1], m[2], ((m.start(2), m.end(2)),)
+
+
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end) of all spans, sorted. Places are code points, ends exclusive."""
     if not text:
@@ -157,10 +247,10 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     out = {(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
     out |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20}
     out |= {(m.start(), 2, m.end()) for m in HEX.finditer(text)}
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         if NAME.search(text):
             weights: dict[str, float] = {}
-            for name, value, places in pairs(text):
+            for name, value, places in chain(pairs(text), elements(text)):
                 w = name_weight(name)
                 if w:
                     if value not in weights:
