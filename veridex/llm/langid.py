@@ -82,9 +82,13 @@ class Model:
 
     def mixture(self, text: str | None) -> tuple[list[str], np.ndarray, float]:
         """The selected languages, largest share first, their shares, and how sure the first is."""
+        return self.infer(text)[:3]
+
+    def infer(self, text: str | None) -> tuple[list[str], np.ndarray, float, float]:
+        """What ``mixture`` gives, and the evidence: the mean log-likelihood of an n-gram over that of one drawn evenly from all buckets."""
         g = grams(text) if self.langs else None
         if g is None:
-            return [UND], np.ones(1), 0.0
+            return [UND], np.ones(1), 0.0, 0.0
         count = np.bincount(g, minlength=BUCKETS)
         at = np.flatnonzero(count)
         c = count[at] * WEIGHT
@@ -120,12 +124,16 @@ class Model:
                 break
             have, p, share, like = np.delete(have, k), np.delete(p, k, axis=1), less, fewer
         order = np.argsort(-share, kind="stable")
-        return [self.langs[i] for i in have[order]], share[order], sure
+        return [self.langs[i] for i in have[order]], share[order], sure, like / total + float(np.log(BUCKETS))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the first language's share, times how sure it is where it stands alone."""
-        langs, share, sure = self.mixture(text)
-        return langs[0], float(min(1.0, max(0.0, share[0] * (sure if len(langs) == 1 else 1.0))))
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and evidence."""
+        langs, share, sure, evidence = self.infer(text)
+        return langs[0], float(min(1.0, max(0.0, share[0] * (sure if len(langs) == 1 else 1.0)))), evidence
 
 
 def train(docs: DataFrame) -> Model:
@@ -137,14 +145,15 @@ def train(docs: DataFrame) -> Model:
 
 
 def attach(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns, with lang_pred and score added (columns of those names are replaced)."""
-    docs = docs.drop("lang_pred", "score")
+    """All rows and columns, with lang_pred, score and evidence added (columns of those names are replaced). Without evidence (0 or less), chance explains the text as well as any language learned."""
+    docs = docs.drop("lang_pred", "score", "evidence")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            got = [shared.value.predict(t) for t in b.column("text").to_pylist()]
-            yield b.append_column("lang_pred", pa.array([x for x, _ in got], pa.string())).append_column("score", pa.array([x for _, x in got], pa.float64()))
+            got = [shared.value.judge(t) for t in b.column("text").to_pylist()]
+            b = b.append_column("lang_pred", pa.array([x[0] for x in got], pa.string()))
+            yield b.append_column("score", pa.array([x[1] for x in got], pa.float64())).append_column("evidence", pa.array([x[2] for x in got], pa.float64()))
 
-    return docs.mapInArrow(run, docs.selectExpr("*", "'' as lang_pred", "0D as score").schema)
+    return docs.mapInArrow(run, docs.selectExpr("*", "'' as lang_pred", "0D as score", "0D as evidence").schema)
