@@ -1,8 +1,13 @@
 """A training corpus from raw documents in five stages, each written as Parquet and read again by the next.
 
-Language id drops what is no language it knows, the n-gram join keeps one document of each group of near duplicates, the
-secret scan takes secrets out of the texts, mixing repeats documents towards the sources' target weights, and the last
-stage encodes the texts.
+Language id drops what is no language it knows (no letters, or n-grams that no mixture of the learned languages explains
+better than chance; a text in several known languages stays), the n-gram join keeps one document of each group of near
+duplicates, the secret scan takes secrets out of the texts, mixing repeats documents towards the sources' target weights,
+and the last stage encodes the texts.
+
+Defined cases: a null, empty or blank text is no language and goes; rows with a null id are kept by the n-gram join, each of
+them; a row that is there several times is kept once by it; null sources are a source; an empty table gives an empty
+result; of extra columns none is passed on. Each run writes into a folder of its own.
 """
 
 from __future__ import annotations
@@ -16,15 +21,13 @@ from veridex.llm import langid, mixing, ngram_join, secrets, spm
 from veridex.llm.common import crc_mod, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Below this share of its first language (or doubt about it), a document is rejected.
-LEAST_SCORE = 0.4
 #: Words of a shingle, and percent of similarity from which documents are near copies.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(F.coalesce(crc_mod("doc_id", 5) != 0, F.lit(False))))
-    return langid.attach(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return langid.attach(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("evidence") > 0)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
