@@ -274,3 +274,104 @@ def test_quality_cutoffs_follow_the_spread(spark):
     sizes = sorted(sum(map(len, r[1].split())) / len(r[1].split()) for r in rows if r[3] == "wide")
     hi, mid = sizes[math.ceil(0.9 * len(sizes)) - 1], sizes[math.ceil(0.5 * len(sizes)) - 1]
     assert math.isclose(of(0)[1], mid + quality.SPREAD * (hi - mid), rel_tol=0.1)
+
+
+def test_secrets_escapes_calls_elements_and_scopes():
+    def said(text):
+        return [text[s:e] for s, k, e in secrets.find_spans(text) if k == 3]
+
+    assert said(r'client_secret = "ab\"cD3$efGH12"') == [r'ab\"cD3$efGH12']
+    assert said("passphrase = `Xk29+fja0392LLs==`") == ["Xk29+fja0392LLs=="]
+    assert said('private_key = """\nabcDEF123+\nghiJKL456xyz\n"""') == ["\nabcDEF123+\nghiJKL456xyz\n"]
+    assert said("private_key = abcDEF123+ghiJKL456xyz\nPWD=Zx9/Kl+12==\ncredential = Xk29+fja0392LLs==") == ["abcDEF123+ghiJKL456xyz", "Zx9/Kl+12==", "Xk29+fja0392LLs=="]
+    assert said('credential = getKey("Xk29-fja0392LLs")') == ["Xk29-fja0392LLs"] and said("credential = getTheKeyOf1User()") == []
+    assert said('seed = "Xk29-fja0392LLs"\ncredential = decode(strip(seed), 3)') == ["Xk29-fja0392LLs"]
+    assert said("<conf><credential kind=\"a\">\n Xk29-fja0392LLs </credential><name>Xk29-fja0392LLs</name></conf>") == ["Xk29-fja0392LLs"]
+    assert said('{"credential": "Xk29-fja0392LLs", "user": "Xk29-fja0392LLx"}') == ["Xk29-fja0392LLs"]
+    assert said("credential: Xk29-fja0392LLs\nuser: me") == ["Xk29-fja0392LLs"]
+    inside = 'def one():\n    part = "Xk29-fja0392LLs"\n    credential = part\n'
+    assert said(inside) == ["Xk29-fja0392LLs"]
+    assert said(inside.replace("credential = part", "pass") + "def two():\n    credential = part\n") == []
+    assert said('part = "Xk29-fja0392LLs"\nfunction f() {\n  return {credential: part}\n}\n') == ["Xk29-fja0392LLs"]
+    for long in ('pwd="' * 50_000, "pwd=\\" * 50_000, "pwd=f(" * 40_000, "<pwd>" * 50_000, 'pwd="""' * 40_000, "def f\n" * 40_000 + "pwd=x", "pwd=`\\`" * 30_000):
+        start = time.process_time()
+        secrets.find_spans(long)
+        assert time.process_time() - start < 10, long[:10]
+
+
+def test_secrets_base_over_a_whole_table(spark):
+    """Base counts and digests of every document against plain patterns."""
+    patterns = (("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = rows_by_id(secrets.scan(docs))
+    for d in docs.select("doc_id", "text").collect():
+        found = [(m.start(), i, m.end()) for i, (_, p, least) in enumerate(patterns) for m in re.finditer(p, d["text"] or "", re.ASCII) if len(m[1]) >= least]
+        r = got[d["doc_id"]]
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in found) for i in range(3))
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{patterns[k][0]}:{s}:{e}" for s, k, e in sorted(found)).encode()).hexdigest()
+
+
+def test_lm_scores_equal_brute_force_over_the_vocabulary(spark):
+    """Both scores of whole texts: all segmentations summed one by one, the weights fitted by enumerating them."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.remove_extra_whitespaces = False
+    for piece, score in (("<unk>", 0.0), *((lmscore.spm.MARK + x, y) for x, y in (("", -2.0), ("a", -1.5), ("ab", -2.5))), *((x, -1.0 - 0.3 * i) for i, x in enumerate(("a", "b", "c", "ab", "bc", "abc")))):
+        m.pieces.add(piece=piece, score=score, type=2 if piece == "<unk>" else 1)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    model = m.SerializeToString()
+    lat = lmscore.Lattice(model)
+    rows = [(i, t, "en", "s", 0, 0, "", "", "") for i, t in enumerate(("ab abc", "c ab ab", "abcab", "b", "a c b", None, "bc AB"))]
+
+    def spellings(w):
+        return [[]] if not w else [[lat.ids[w[:i]], *rest] for i in range(1, len(w) + 1) if w[:i] in lat.ids for rest in spellings(w[i:])]
+
+    words = [[lmscore.spm.MARK + w.lower() for w in (r[1] or "").split()] for r in rows]
+    n = {k: lmscore.PRIOR * lat.usable.sum() * math.exp(lat.start[k]) for k in range(lat.size) if lat.usable[k]}
+    for w in (w for text in words for w in text):
+        ways = [(s, math.exp(sum(lat.start[k] for k in s))) for s in spellings(w)]
+        for s, p in ways:
+            for k in s:
+                n[k] += p / sum(q for _, q in ways)
+    total = sum(n.values()) + len(rows) + lmscore.PRIOR
+    end = math.log10((len(rows) + lmscore.PRIOR) / total)
+    got = rows_by_id(lmscore.score(frame(spark, rows), F.lit(True), model=model))
+    for r, text in zip(rows, words):
+        fitted = sum(math.log10(sum(math.exp(sum(math.log(n[k] / total) for k in s)) for s in spellings(w))) for w in text) + end
+        plain = sum(math.log10(sum(math.exp(sum(lat.start[k] for k in s)) for s in spellings(w))) for w in text) + end
+        assert math.isclose(got[r[0]]["score"], fitted, rel_tol=1e-9) and math.isclose(got[r[0]]["vocabulary_score"], plain, rel_tol=1e-9)
+
+
+def test_language_mixture_equals_a_search_over_all_sets():
+    """The set chosen step by step is that of the best penalised likelihood among all sets of languages, each fitted by plain EM."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(8)
+    words = {lang: ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 7))) for _ in range(80)] for lang, letters in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "mnopqrs"), ("dd", "tuvwxyz"))}
+    rows = []
+    for lang, known in words.items():
+        n = np.bincount(langid.grams(" ".join(rnd.choice(known) for _ in range(3000))), minlength=langid.BUCKETS)
+        rows += [{"lang": lang, "bucket": int(b), "n": int(n[b])} for b in np.flatnonzero(n)]
+    model = langid.Model(rows)
+    for mix in (("aa",), ("aa", "cc"), ("bb", "dd"), ("aa", "bb", "dd"), ("aa", "bb", "cc", "dd")):
+        text = " ".join(rnd.choice(words[lang]) for lang in mix for _ in range(90))
+        count = np.bincount(langid.grams(text), minlength=langid.BUCKETS) * langid.WEIGHT
+        at = np.flatnonzero(count)
+        best = None
+        for k in range(1, 5):
+            for some in itertools.combinations(range(4), k):
+                share, p = np.full(k, 1 / k), model.p[np.ix_(at, some)]
+                for _ in range(200):
+                    share = share * ((count[at] / (p @ share)) @ p) / count.sum()
+                value = count[at] @ np.log(p @ share) - k * (0.5 * np.log(count.sum()) + 1.0)
+                if best is None or value > best[0]:
+                    best = value, {model.langs[i] for i in some}, dict(zip((model.langs[i] for i in some), share))
+        langs, share, _ = model.mixture(text)
+        assert set(langs) == best[1] == set(mix) and all(abs(best[2][x] - y) < 0.02 for x, y in zip(langs, share))
+        assert model.judge(text)[2] > 0

@@ -2,11 +2,12 @@
 
 A text is a sequence of words and one end. A word, with a space mark before it, is spelled by any sequence of vocabulary
 pieces that joins to it, and its probability is the sum over all of them, by a forward recursion in log space over words
-of equal length at once. The piece weights start from the scores of an existing vocabulary (for a merge vocabulary, whose
-scores are ranks, from the reciprocal of the rank) and are fitted by one round of expectation-maximisation on the words
-of all training documents: expected piece counts come from the forward and backward recursions, weighted by how often a
-word occurs. They are numbers per piece, so what is collected is bounded by the vocabulary. Characters without a piece
-are spelled by byte pieces. The end has a weight of its own, learned from the number of texts, so the model is a
+of equal length at once. The pieces are weighed by the scores of an existing vocabulary (for a merge vocabulary, whose
+scores are ranks, by the reciprocal of the rank), brought up to the corpus as the maximum a posteriori does: those weights
+are a Dirichlet prior of ``PRIOR`` observations, and one round of expectation-maximisation on the words of all training
+documents adds the expected piece counts under the vocabulary's scores, from the forward and backward recursions,
+weighted by how often a word occurs. ``score`` uses the weights so found, ``vocabulary_score`` the vocabulary's alone. They are
+numbers per piece, so what is collected is bounded by the vocabulary. Characters without a piece are spelled by byte pieces. The end has a weight of its own, learned from the number of texts, so the model is a
 distribution over texts up to the kind of white space.
 
 The base score is that of single words with add-one smoothing.
@@ -37,8 +38,10 @@ from . import spm
 from .common import shared_dir, small_batches
 
 BLOCK_BYTES = 24 << 20
-#: Added to every piece's expected count.
-PRIOR = 0.1
+#: Bytes of text to a part of the distinct words.
+PART_BYTES = 16 << 20
+#: Observations that the vocabulary's own weights stand for, per piece of the vocabulary.
+PRIOR = 1.0
 RANK_OFFSET = 10.0
 
 
@@ -63,9 +66,9 @@ class Lattice(spm.Pieces):
             order = np.argsort(keys)
             self.tables.append((keys[order], np.array([i for _, i in own], np.int64)[order]))
 
-    def edges(self, words: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(self, words: list[str], weight: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids and log weights by word, end and length; a character without a piece weighs as its bytes."""
-        ids = self.found(words)
+        ids = self.found(words) if ids is None else ids
         w = np.where(ids >= 0, weight[ids], -np.inf)
         r, j = np.nonzero(ids[:, :, 0] < 0)
         if len(r):
@@ -73,9 +76,9 @@ class Lattice(spm.Pieces):
             w[r, j, 0] = [lone[words[a][b]] for a, b in zip(r.tolist(), j.tolist())]
         return ids, w
 
-    def forward(self, words: list[str], weight: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
+    def forward(self, words: list[str], weight: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None, ids: np.ndarray | None = None) -> np.ndarray:
         """Log probabilities of words of one length; with counts, their expected piece counts are added to ``expected``."""
-        ids, w = self.edges(words, weight)
+        ids, w = self.edges(words, weight, ids)
         n, length, most = ids.shape
         a = np.full((n, length + 1), -np.inf)
         a[:, 0] = 0
@@ -161,15 +164,18 @@ def _weigh(model, weight):
         w = weight.value
         for b in batches:
             words = b.column("word").to_pylist()
-            spelled, out = marked(words), np.zeros(len(words))
+            spelled, out, own = marked(words), np.zeros(len(words)), np.zeros(len(words))
             for at in lat.by_length(spelled):
-                out[at] = lat.forward([spelled[i] for i in at], w) / log(10)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(out)], names=["word", "c", "lp"])
+                some = [spelled[i] for i in at]
+                ids = lat.found(some)
+                out[at] = lat.forward(some, w, ids=ids) / log(10)
+                own[at] = lat.forward(some, lat.start, ids=ids) / log(10)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(out), pa.array(own)], names=["word", "c", "lp", "vp"])
 
     return run
 
 
-SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, vocabulary_score double"
 
 
 def _score(train_tokens: int, distinct: int, ends: int, log_end: float):
@@ -178,21 +184,21 @@ def _score(train_tokens: int, distinct: int, ends: int, log_end: float):
     def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
         c = np.append(np.asarray(words.column("c"), np.int64), ends)
         base = np.log10(c + 1) - low
-        lp = np.append(np.asarray(words.column("lp"), float), log_end)
+        lp, vp = (np.append(np.asarray(words.column(x), float), log_end) for x in ("lp", "vp"))
         place = {w.encode(): i for i, w in enumerate(words.column("word").to_pylist())}
         rows = []
         for text in docs.column("text").to_pylist():
             at = np.fromiter(chain(map(place.__getitem__, block_words(text)), (len(c) - 1,)), np.int64)
-            rows.append((len(at), int((c[at] > 0).sum()), train_tokens, float(base[at].sum()), float(lp[at].sum())))
-        cols = list(zip(*rows)) or [()] * 5
-        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
+            rows.append((len(at), int((c[at] > 0).sum()), train_tokens, float(base[at].sum()), float(lp[at].sum()), float(vp[at].sum())))
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 3
         return pa.table([docs.column("doc_id"), docs.column("train"), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
 def score(docs: DataFrame, train, model: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score. ``train``: the column that marks training rows."""
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score. ``train``: the column that marks training rows."""
     spark = docs.sparkSession
     model = model or spm.default_model()
     small_batches(spark)
@@ -204,7 +210,8 @@ def score(docs: DataFrame, train, model: str | None = None, block_bytes: int = B
     folder = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
     dealt.groupBy("block").applyInArrow(_list, "block long, word string, n long").write.parquet(f"{folder}/listed")
     listed = spark.read.parquet(f"{folder}/listed")
-    listed.groupBy("word").agg(F.sum("n").alias("c")).write.parquet(f"{folder}/counts")
+    # words are short and their lattices long: more and smaller parts than their bytes ask for
+    listed.groupBy("word").agg(F.sum("n").alias("c")).repartition(max(1, -(-n_bytes // PART_BYTES))).write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     tokens, distinct = tokens + ends, distinct + bool(ends)
@@ -213,9 +220,9 @@ def score(docs: DataFrame, train, model: str | None = None, block_bytes: int = B
     n = np.zeros(lat.size)
     for r in got:
         n[r["piece"]] = r["n"]
-    n[lat.usable] += PRIOR
+    n[lat.usable] += PRIOR * lat.usable.sum() * np.exp(lat.start[lat.usable])
     total = n.sum() + ends + PRIOR
     weight = spark.sparkContext.broadcast(np.where(n > 0, np.log(np.maximum(n, 1e-300) / total), -np.inf))
-    scored = counts.mapInArrow(_weigh(model, weight), "word string, c long, lp double")
-    back = listed.select("block", "word").join(scored, "word").select(F.col("block").alias("of"), "word", "c", "lp")
+    scored = counts.mapInArrow(_weigh(model, weight), "word string, c long, lp double, vp double")
+    back = listed.select("block", "word").join(scored, "word").select(F.col("block").alias("of"), "word", "c", "lp", "vp")
     return dealt.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_score(tokens, distinct, ends, log10((ends + PRIOR) / total)), SCORED)

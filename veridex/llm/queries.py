@@ -57,7 +57,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = crc_mod("doc_id", 7) != 2
     got = lmscore.score(table(spark, sf_dir, "documents"), train)
-    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "vocabulary_score")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
