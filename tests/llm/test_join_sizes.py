@@ -1,6 +1,7 @@
 """The n-gram join with other shingles and similarities than those of op10."""
 
 import itertools
+import random
 
 from veridex.llm import ngram_join
 
@@ -39,8 +40,19 @@ def test_five_words_at_80(spark, monkeypatch):
     assert components(rows, 3, 90)[2][1] == 2
 
 
-def test_stored_hashes_suffice_at_80():
-    for n in range(1, 800):
-        for m in range(1, 1000):
-            if 100 * min(n, m) >= 80 * max(n, m):
-                assert ngram_join.stored(n, 80) >= min(n, ngram_join.near_rank(m, 80) + n - ngram_join.needed(m, n, 80))
+def test_linked_sets_share_enough_of_what_is_kept():
+    """Sets just similar enough, their common shingles as late in the order as can be or anywhere."""
+    rnd = random.Random(6)
+    for percent in (80, 90, 100):
+        for n in [*range(1, 120), 333, 1000]:
+            for m in sorted({n, -(-percent * n // 100), rnd.randrange(-(-percent * n // 100), n + 1)}):
+                both = ngram_join.needed(n, m, percent)
+                if both > m:
+                    continue
+                for late in (True, False):
+                    order = list(range(n + m - both))
+                    if not late:
+                        rnd.shuffle(order)
+                    a, b, common = order[: n - both], order[n - both : n + m - 2 * both], order[n + m - 2 * both :]
+                    x, y = sorted(a + common)[: ngram_join.kept(n, percent)], sorted(b + common)[: ngram_join.kept(m, percent)]
+                    assert len(set(x) & set(y)) >= max(ngram_join.least_shared(n, percent), ngram_join.least_shared(m, percent)), (percent, n, m)

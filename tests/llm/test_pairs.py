@@ -68,13 +68,6 @@ def test_ngram_join_empty(spark):
     assert ngram_join.join(frame(spark, [])).collect() == []
 
 
-def test_stored_hashes_suffice():
-    for n in range(1, 1500):
-        for m in range(1, 1800):
-            if 100 * min(n, m) >= 90 * max(n, m):
-                assert ngram_join.stored(n) >= min(n, ngram_join.near_rank(m) + n - ngram_join.needed(m, n))
-
-
 def test_divide_skip_counts():
     rnd = random.Random(3)
     sets = [np.unique(np.array([rnd.randrange(60) for _ in range(rnd.randrange(20, 60))], np.int64)) for _ in range(40)]

@@ -4,11 +4,10 @@ A document's set are the hashes of its distinct shingles, of three words unless
 their sets' Jaccard similarity reaches ``PERCENT``, or what was asked. Fractions below are those at 90 percent.
 The result is exact up to collisions of 64-bit hashes:
 
-1. Equal sets are one class. Classes that cannot link are left out. A partner lacks at most a tenth of a class's shingles,
-   so a class with more shingles than that which nobody else has is alone. That is seen from the shingles with the smallest
-   hashes, about a fifth of them: enough are kept that a partner that has one of the first ``near_rank`` of a class has it
-   among its own kept ones too. What is left is tested again among sets of like size: linked sets lie in the same or in
-   neighbouring bands of sizes, so shingles held outside of them do not count as shared.
+1. Equal sets are one class. Classes that cannot link are left out, by the shingles with the smallest hashes, ``kept`` of
+   each set, about an eighth: two linked sets have at least ``least_shared`` of those in common, so a class that has fewer
+   in common with all others together is alone. What is left is tested again among sets of like size: linked sets lie in
+   the same or in neighbouring bands of sizes, so shingles held outside of them do not count as shared.
 2. On the classes left, shingles are ordered by how many classes hold them, rarest first, and only the first tenth and one
    more of each set are indexed, by shingle and band: linked sets share one of those lists.
 3. Lists are gathered around their most typical class (whose shingles most others hold): the classes that meet in any list
@@ -64,14 +63,20 @@ def prefix(n, percent=PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def near_rank(n, percent=PERCENT):
-    return prefix(n, percent) + prefix(n, percent) // 4 + 2
+def depth(n, percent=PERCENT):
+    """So many shingles must two sets share among the kept ones, if both are of n or more and neither is kept whole."""
+    return prefix(n, percent) // 4 + 2
 
 
-def stored(n: int, percent: int = PERCENT) -> int:
-    """Kept hashes of a set of n: more than the near rank of any possible partner and what the set may have besides."""
+def kept(n, percent=PERCENT):
+    """How many of a set's smallest hashes are compared: of each more than the prefix, the linked sets share one more."""
+    return min(n, prefix(n, percent) + depth(n, percent) - 1)
+
+
+def least_shared(n, percent=PERCENT):
+    """What a set of n has in common with any linked set among the kept shingles of both: the depth of the smallest one it can link to, or all that they share."""
     least = -(-percent * n // 100)
-    return min(n, max(near_rank(m, percent) + n - needed(m, n, percent) for m in {least, least + 1, n, 100 * n // percent}) + 4)
+    return min(least, depth(least, percent))
 
 
 def band(n, percent: int):
@@ -191,7 +196,7 @@ def _heads(size: int, percent: int):
         for b in batches:
             sets = all_shingles(b.column("text"), size)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), _arrays([s[: stored(len(s), percent)] for s in sets])],
+                [b.column("doc_id"), b.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), _arrays([s[: kept(len(s), percent)] for s in sets])],
                 names=[x.split()[0] for x in HEADS.split(", ")],
             )
 
@@ -334,9 +339,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _own(tokens: DataFrame) -> DataFrame:
-    """(class, own): of rows (key, held), how many near keys only one class holds. ``held`` is 62 bits of the class, whether the key is near, and one bit more that stays apart."""
-    alone = tokens.groupBy("key").agg(F.min("held").alias("lo"), F.max("held").alias("hi"))
-    alone = alone.where((F.shiftright("lo", 2) == F.shiftright("hi", 2)) & (F.col("lo").bitwiseAND(2) != 0))
+    """(few, own0, own1): of rows (key, held), how many keys only one class holds. ``held`` is 62 bits of the class, and its last bit tells two counts apart."""
+    alone = tokens.groupBy("key").agg(F.min("held").alias("lo"), F.max("held").alias("hi")).where(F.shiftright("lo", 2) == F.shiftright("hi", 2))
     per = alone.groupBy(F.shiftright("lo", 2).alias("few"), F.col("lo").bitwiseAND(1).alias("side")).agg(F.count(F.lit(1)).alias("own"))
     return per.groupBy("few").agg(F.max(F.when(F.col("side") == 0, F.col("own"))).alias("own0"), F.max(F.when(F.col("side") == 1, F.col("own"))).alias("own1"))
 
@@ -355,21 +359,23 @@ def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
     heads = keep(docs.mapInArrow(_heads(size, percent), HEADS), "heads")
     info = settle(heads.select("doc_id", "text_id", "n", "class"))
 
-    # 1. classes with enough shingles of their own are alone
-    p = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    near = (F.col("at") < p + F.floor(p / 4) + 2).cast("long") * 2
+    # 1. classes with too few shared shingles are alone
+    least = F.ceil(percent * F.col("n") / 100)
+    p = F.col("n") - least + 1
+    shared = lambda own: F.least(F.col("n"), p + F.floor(p / 4) + 1) - F.coalesce(own, F.lit(0))
+    enough = F.least(least, F.floor((least - F.ceil(percent * least / 100) + 1) / 4) + 2)
     few = F.shiftright("class", 2)
     usable = heads.where("n > 0 and doc_id is not null").select("doc_id", "text_id", "class", "n", "head")
-    tokens = usable.select("n", "class", F.posexplode("head").alias("at", "key")).select("key", (few * 4 + near).alias("held"))
+    tokens = usable.select("class", F.explode("head").alias("key")).select("key", (few * 4).alias("held"))
     first = info.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "text_id")).alias("r"), F.first("n").alias("n"))
     first = first.select("class", few.alias("few"), "n", F.col("r.doc_id").alias("doc_id"), F.col("r.text_id").alias("text_id"))
-    left = settle(first.join(_own(tokens), "few", "left").where(F.coalesce("own0", F.lit(0)) < p).drop("own0", "own1"))
+    left = settle(first.join(_own(tokens), "few", "left").where(shared("own0") >= enough).drop("own0", "own1"))
     release(spark)
     again = usable.join(left.select("doc_id", "text_id"), ["doc_id", "text_id"], "left_semi").withColumn("band", band(F.col("n"), percent))
-    again = again.select("n", "class", "band", F.posexplode("head").alias("at", "token"))
+    again = again.select("class", "band", F.explode("head").alias("token"))
     side = F.posexplode(F.array("band", F.col("band") + 1)).alias("side", "of")
-    tokens = again.select("n", "class", "at", "token", side).select(F.xxhash64("token", "of").alias("key"), (few * 4 + near + F.col("side")).alias("held"))
-    left = left.join(_own(tokens), "few", "left").where((F.coalesce("own0", F.lit(0)) < p) | (F.coalesce("own1", F.lit(0)) < p))
+    tokens = again.select("class", "token", side).select(F.xxhash64("token", "of").alias("key"), (few * 4 + F.col("side")).alias("held"))
+    left = left.join(_own(tokens), "few", "left").where((shared("own0") >= enough) | (shared("own1") >= enough))
     left = settle(left.select("doc_id", "text_id"))
     remove(spark, f"{folder}/heads")
     release(spark)
@@ -379,9 +385,9 @@ def classes_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sets = keep(texts.mapInArrow(_sets(size), "doc long, n long, tokens array<long>"), "sets")
     release(spark)
     exploded = sets.select("doc", "n", F.explode("tokens").alias("token"))
-    shared = exploded.join(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "token")
+    common = exploded.join(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "token")
     by_doc = Window.partitionBy("doc")
-    ranked = shared.withColumn("r", F.row_number().over(by_doc.orderBy("c", "token"))).withColumn("shared", F.count(F.lit(1)).over(by_doc)).withColumn("held", F.sum("c").over(by_doc))
+    ranked = common.withColumn("r", F.row_number().over(by_doc.orderBy("c", "token"))).withColumn("shared", F.count(F.lit(1)).over(by_doc)).withColumn("held", F.sum("c").over(by_doc))
     own = F.col("n") - F.col("shared")
     # how many classes hold a shingle of the class, on average: the text that copies were made from has most
     typical = (F.col("held") + own) / F.col("n")
