@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("q_bulk", "so2_intersection", "so3_exclusion", "j1_direct_probe", "j5_arrow_any", "j6_arrow_all", "q_collapse", "q_lr", "q_ls", "sc1_snapshot", "w10_fold", "sk1_read_relationships", "sc9_parse", "q_watch")
+HEADLINE = ("q_bulk", "so2_intersection", "so3_exclusion", "j1_direct_probe", "j5_arrow_any", "j6_arrow_all", "q_collapse", "q_lr", "sc1_snapshot", "w10_fold", "sk1_read_relationships", "sc9_parse", "q_watch")
 
 
 def main() -> None:
