@@ -40,3 +40,30 @@ def test_plain_tables_ties_and_empty(spark):
     assert none.collect() == []
     digest = chat.parse(chat.render(chat.rebuild(chat.as_events(df)))).select(F.sha2("learned", 256)).first()[0]
     assert digest == hashlib.sha256(b"").hexdigest()
+
+
+def test_the_log_of_a_plain_table_needs_its_fold(spark):
+    rows = [(1, 0, "user", "question 猫"), (1, 1, "assistant", "answer 🙂 of some length"), (1, 2, "user", None), (1, 3, "assistant", "x"), (None, 0, None, "who"), (2, 0, "assistant", "")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, kind string, seq int")
+    log = chat.as_events(df)
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert kinds == {"delta": 9, "regenerate": 3, "message": 3, "edit": 3}
+    got = {r["conv_id"]: r for r in chat.parse(chat.render(chat.rebuild(log))).collect()}
+    assert {k: [tuple(t) for t in r["turns"]] for k, r in got.items()} == {
+        1: [("user", "question 猫"), ("assistant", "answer 🙂 of some length"), ("user", ""), ("assistant", "x")], None: [("", "who")], 2: [("assistant", "")],
+    }
+    assert {k: r["learned"] for k, r in got.items()} == {1: "answer 🙂 of some lengthx", None: "", 2: ""}
+    for r in got.values():
+        assert "".join(chat_unescape(r["formatted"][m["start"] : m["end"]]) for m in r["loss_mask"] if m) == r["learned"]
+
+
+def chat_unescape(s):
+    return s.replace("\\l", "<|").replace("\\e", "\\")
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|turn|> {i} \\ " + "é" * (i % 7)) for i in range(6000)] + [(2, 0, "assistant", "long 🙂 " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.parse(chat.render(chat.rebuild(chat.as_events(df)))).collect()}
+    assert [t["text"] for t in got[1]["turns"]] == [r[3] for r in rows[:-1]]
+    assert got[1]["learned"] == "".join(r[3] for r in rows[:-1] if r[2] == "assistant") and got[2]["learned"] == rows[-1][3]

@@ -9,8 +9,8 @@ gathered, once per message and once per conversation.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In roles and texts the escape sign ``\\``
 becomes ``\\e`` and ``<|`` becomes ``\\l`` (in roles a line feed becomes ``\\n`` too), so no text can hold a control string
-and the output reads back exactly. The loss mask is a list of [start, end) code point spans of the formatted string, one
-for each assistant text.
+and the output reads back exactly. The loss mask has an entry for each turn: null, or for an assistant the [start, end) code
+point span of its text in the formatted string, with ``base``, where the turn begins.
 
 Defined cases: null text and null role are empty; null conv_id is a conversation of its own; events of equal seq are
 ordered by turn, kind, role and text, so ties and repeated rows have one result; an empty log gives an empty result;
@@ -81,9 +81,10 @@ def render(messages: DataFrame) -> DataFrame:
     start = F.sum(length).over(w) - F.length("body") - F.lit(len(END) + 1)
     m = m.withColumn("start", start.cast("long")).withColumn("k", F.row_number().over(w))
     piece = F.struct("k", F.concat("head", "body", F.lit(END + "\n")).alias("s"))
-    mask = F.when(F.col("learn"), F.struct(F.col("start"), (F.col("start") + F.length("body")).alias("end")))
+    span = F.struct((F.col("start") - F.length("head")).alias("base"), F.col("start"), (F.col("start") + F.length("body")).alias("end"))
+    mask = F.struct("k", F.when(F.col("learn"), span).alias("span"))
     return m.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"), F.array_join(F.array_sort(F.collect_list(piece)).getField("s"), "").alias("formatted"), F.array_sort(F.collect_list(mask)).alias("loss_mask")
+        F.count(F.lit(1)).alias("n_turns"), F.array_join(F.array_sort(F.collect_list(piece)).getField("s"), "").alias("formatted"), F.array_sort(F.collect_list(mask)).getField("span").alias("loss_mask")
     )
 
 
@@ -97,11 +98,28 @@ def parse(formatted: DataFrame) -> DataFrame:
             unescape(F.substr(t, F.length(F.substring_index(t, "\n", 1)) + 2, F.length(t) - F.length(F.substring_index(t, "\n", 1)) - F.lit(2 + len(END)))).alias("text"),
         ),
     )
-    under = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
-    return formatted.withColumn("turns", turn).withColumn("learned", under)
+    # a span is read in its own turn, so that a long conversation is not walked from its start for each of them
+    offset = lambda s: (s["start"] - s["base"]).cast("int") - F.lit(len(START) - 1)
+    spans = F.zip_with(turns, "loss_mask", lambda t, s: unescape(F.substr(t, offset(s), (s["end"] - s["start"]).cast("int"))))
+    return formatted.withColumn("turns", turn).withColumn("learned", F.array_join(spans, ""))
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A plain table of turns as a log, each row a whole message in the order of turn, role and text. Rows that repeat a turn stay apart."""
+    """A plain table of turns as the log of how they could have come about, in the order of turn, role and text. Rows that repeat a turn stay apart.
+
+    An assistant's text is streamed to its half, regenerated, and streamed anew in two deltas; any other text is sent by half
+    and then edited to the whole. The events of a turn follow all of those before it.
+    """
     turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return conversations.select("conv_id", turn.alias("seq"), F.lit("message").alias("kind"), turn.alias("turn"), "role", "text")
+    rows = conversations.select("conv_id", turn.alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("text")
+    half = F.floor(size / 2).cast("int")
+    first, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1, size - half)
+
+    def events(*own):
+        return F.array(*(F.struct(F.lit(kind).alias("kind"), text.alias("text")) for kind, text in own))
+
+    streamed = events(("delta", first), ("regenerate", F.lit("")), ("delta", first), ("delta", rest))
+    edited = events(("message", first), ("edit", F.col("text")))
+    log = rows.select("conv_id", "turn", "role", F.posexplode(F.when(F.col("role") == LEARN, streamed).otherwise(edited)).alias("j", "event"))
+    return log.select("conv_id", (F.col("turn") * 4 + F.col("j")).alias("seq"), "event.kind", "turn", "role", "event.text")
