@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -375,3 +376,18 @@ def test_language_mixture_equals_a_search_over_all_sets():
         langs, share, _ = model.mixture(text)
         assert set(langs) == best[1] == set(mix) and all(abs(best[2][x] - y) < 0.02 for x, y in zip(langs, share))
         assert model.judge(text)[2] > 0
+
+
+def test_equal_hashes_do_not_make_a_piece():
+    p = spm.Pieces(spm.default_model())
+    words = ["ab", "zq"]
+    before = p.found(words)
+    keys, ids, spelt = p.tables[1]
+    codes = np.array([[ord(c) for c in w] for w in words], np.uint64)
+    order = np.argsort(forged := p.hashes(codes)[:, -1])
+    p.tables[1] = (forged[order], np.array([7, 8], np.int64)[order], np.array([[1, 2], [3, 4]], np.uint32))
+    after = p.found(words)
+    assert (after[:, 1, 1] == -1).all() and (after[:, :, 0] == before[:, :, 0]).all()
+    for x in ("the", "ing"):
+        if x in p.ids and p.merge(x) == [x]:
+            assert p.found([x])[0, len(x) - 1, len(x) - 1] == p.ids[x]

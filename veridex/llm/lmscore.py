@@ -58,13 +58,7 @@ class Lattice(spm.Pieces):
         start[self.byte_ids[self.byte_ids >= 0]] = start[self.usable].min() - 2.0
         self.start = start - np.logaddexp.reduce(start[self.usable])
         # every piece is an edge here, also those no merge leads to
-        self.tables = []
-        for n in range(1, self.longest + 1):
-            own = [(x, i) for x, i in self.ids.items() if len(x) == n]
-            codes = np.array([[ord(c) for c in x] for x, _ in own], np.uint64).reshape(len(own), n)
-            keys = self.hashes(codes)[:, -1] if own else np.zeros(0, np.uint64)
-            order = np.argsort(keys)
-            self.tables.append((keys[order], np.array([i for _, i in own], np.int64)[order]))
+        self.tables = self.keyed(self.ids)
 
     def edges(self, words: list[str], weight: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids and log weights by word, end and length; a character without a piece weighs as its bytes."""

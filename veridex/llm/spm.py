@@ -80,22 +80,13 @@ class Pieces:
         with np.errstate(over="ignore"):
             for k in range(1, self.longest + 1):
                 self.powers[k] = self.powers[k - 1] * BASE
-        crossing = any(MARK in x.lstrip(MARK) for x in usable)
         self.crossing = any(MARK in x.lstrip(MARK) for x in usable)
         self.segments = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.traces: dict[str, list[tuple[float, str, str]]] = {}
         self.pair_key = np.full(PAIRS, -1, np.int64)
         self.pair_stays = np.zeros(PAIRS, bool)
         whole = usable if self.unigram else {x: i for x, i in usable.items() if self.merge(x) == [x]}
-        self.tables = []
-        for n in range(1, self.longest + 1):
-            own = [(x, i) for x, i in whole.items() if len(x) == n]
-            codes = np.array([[ord(c) for c in x] for x, _ in own], np.uint64).reshape(len(own), n)
-            keys = self.hashes(codes)[:, -1] if own else np.zeros(0, np.uint64)
-            order = np.argsort(keys)
-            if (np.diff(keys[order].astype(object)) == 0).any():
-                raise ValueError("two pieces share a hash")
-            self.tables.append((keys[order], np.array([i for _, i in own], np.int64)[order]))
+        self.tables = self.keyed(whole)
         low = min((self.score[i] for i in usable.values()), default=0.0)
         self.unk_score = low - 10.0
         # ids as int32 bytes, by segment less its first space mark; what the older one has moves to the newer one when met
@@ -105,6 +96,19 @@ class Pieces:
         self.raw_ends = np.concatenate(([0], np.cumsum(lengths)))
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
+    def keyed(self, pieces: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length, sorted hashes of the pieces, their ids and their characters."""
+        tables = []
+        for n in range(1, self.longest + 1):
+            own = [(x, i) for x, i in pieces.items() if len(x) == n]
+            codes = np.array([[ord(c) for c in x] for x, _ in own], np.uint64).reshape(len(own), n)
+            keys = self.hashes(codes)[:, -1] if own else np.zeros(0, np.uint64)
+            order = np.argsort(keys)
+            if (np.diff(keys[order].astype(object)) == 0).any():
+                raise ValueError("two pieces share a hash")
+            tables.append((keys[order], np.array([i for _, i in own], np.int64)[order], codes[order].astype(np.uint32)))
+        return tables
+
     def hashes(self, codes: np.ndarray) -> np.ndarray:
         """Polynomial hashes of all prefixes, (n, length)."""
         out = np.zeros(codes.shape, np.uint64)
@@ -123,13 +127,19 @@ class Pieces:
         upto[:, 1:] = self.hashes(codes)
         out = np.full((n, length, min(self.longest, length)), -1, np.int64)
         for k in range(1, out.shape[2] + 1):
-            keys, ids = self.tables[k - 1]
+            keys, ids, spelt = self.tables[k - 1]
             if not len(keys):
                 continue
             with np.errstate(over="ignore"):
                 h = upto[:, k:] - upto[:, :-k] * self.powers[k]
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            out[:, k - 1 :, k - 1] = np.where(keys[at] == h, ids[at], -1)
+            w, begin = np.nonzero(keys[at] == h)
+            hit = at[w, begin]
+            # equal hashes only propose a piece: its characters decide
+            same = np.ones(len(w), bool)
+            for c in range(k):
+                same &= codes[w, begin + c] == spelt[hit, c]
+            out[w[same], begin[same] + k - 1, k - 1] = ids[hit[same]]
         return out
 
     def merge(self, text: str) -> list[str]:
