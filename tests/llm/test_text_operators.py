@@ -391,3 +391,15 @@ def test_equal_hashes_do_not_make_a_piece():
     for x in ("the", "ing"):
         if x in p.ids and p.merge(x) == [x]:
             assert p.found([x])[0, len(x) - 1, len(x) - 1] == p.ids[x]
+
+
+def test_token_proof_is_made_once_and_taken_over(docs, monkeypatch):
+    proofs, plain = [], tokcount.Counts.prove
+    monkeypatch.setattr(tokcount.Counts, "prove", lambda self, vocabulary: proofs.append(1) or plain(self, vocabulary))
+    tokcount.counter.cache_clear()
+    first = sorted(map(str, tokcount.count_tokens(docs).collect()))
+    assert sorted(map(str, tokcount.count_tokens(docs.repartition(8)).collect())) == first
+    path = tokcount.default_vocabulary()
+    worker = tokcount.of_worker(path, docs.sparkSession.sparkContext.broadcast(tokcount.counter(path).whole))
+    assert len(proofs) == 1 and worker is tokcount.of_worker(path, None)
+    assert tokcount.Counts(path, frozenset()).count("the whole text") == worker.count("the whole text")  # the shortcut changes no count

@@ -1,8 +1,8 @@
 """Token counts of a byte-level BPE vocabulary, with a shortcut for whole tokens.
 
-Once per worker it is proved by running the merges which vocabulary strings encode alone as one token. A text is split at
-the special strings and then into pre-tokens; those in the proven set count one each, and only the others are merged
-(their counts are kept in a bounded memo). Texts of any length are counted whole.
+Before any text is read, the driver proves by running the merges which vocabulary strings encode alone as one token, once for a
+vocabulary, and broadcasts the proven set, which the vocabulary bounds. A text is split at the special strings and then into
+pre-tokens; those in the proven set count one each, and only the others are merged (their counts are kept in a bounded memo). Texts of any length are counted whole.
 
 Defined cases: null text is empty and has no tokens; repeated rows are counted each; an empty table gives an empty
 result; extra columns are ignored.
@@ -40,7 +40,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Counts:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
         import public_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -51,9 +51,14 @@ class Counts:
         self.special = [t["content"] for t in model["added_tokens"]]
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.whole = self.prove(model["model"]["vocab"]) if whole is None else whole
+        self.memo: dict[str, int] = {}
+
+    def prove(self, vocabulary) -> frozenset[str]:
+        """The strings of the vocabulary that encode alone as one token."""
         back = {c: b for b, c in self.letters.items()}
-        self.whole: set[str] = set()
-        for t in model["model"]["vocab"]:
+        proven = set()
+        for t in vocabulary:
             if t in self.special or not all(c in back for c in t):
                 continue
             try:
@@ -61,8 +66,8 @@ class Counts:
             except UnicodeDecodeError:
                 continue
             if self.merged(s) == 1:
-                self.whole.add(s)
-        self.memo: dict[str, int] = {}
+                proven.add(s)
+        return frozenset(proven)
 
     def merged(self, s: str) -> int:
         """Tokens after all merges, lowest rank first, leftmost of equal ones; O(n log n) by a heap over a linked list."""
@@ -115,14 +120,26 @@ class Counts:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counts:
+    """The counts with their proof, for the driver."""
     return Counts(path)
 
 
+WORKERS: dict[str, Counts] = {}
+
+
+def of_worker(path: str, proven) -> Counts:
+    """The counts of a worker, which keeps them from task to task; the proof comes from the broadcast."""
+    if path not in WORKERS:
+        WORKERS[path] = Counts(path, proven.value)
+    return WORKERS[path]
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     path = path or default_vocabulary()
+    proven = docs.sparkSession.sparkContext.broadcast(counter(path).whole)
 
     def run(batches):
-        c = counter(path)
+        c = of_worker(path, proven)
         for b in batches:
             texts = b.column("text").to_pylist()
             n = [c.count(t) for t in texts]
