@@ -212,3 +212,61 @@ def test_wildcard_survives_a_ban_of_any_legal_name(spark):
     rows = [("doc", "one", "viewer", "user", "*", ELLIPSIS, None, None, None)] + [("doc", "one", "banned", "user", u, ELLIPSIS, None, None, None) for u in ("any/other|name", "fresh", "x=y")]
     got = lookup.lookup_subjects(spark.createDataFrame(rows, SCHEMA), schema, spark.createDataFrame([("doc", "one")], "resource_type string, resource_id string"), "view", "user").collect()
     assert [(r["subject_id"], r["is_wildcard"], r["excluded"]) for r in got] == [("*", True, "any/other|name,fresh,x=y")]
+
+
+SETS = """
+definition user {}
+definition group { relation member: user | user:* | group#member permission all = member }
+definition folder {
+  relation viewer: user | user:* | group#all
+  relation banned: user | group#member
+  permission view = viewer - banned
+}
+definition document {
+  relation folder: folder
+  relation owner: user
+  relation viewer: user | user:* | group#member
+  relation muted: user | user:*
+  permission open = folder->view + viewer
+  permission view = (open & viewer) + (folder->view - muted) + owner
+  permission quiet = (viewer - muted) - folder->view
+}
+"""
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_subject_sets_agree_with_brute_force(spark, seed):
+    rnd, schema = random.Random(seed), parse(SETS)
+    users, groups, folders, docs = [[f"{c}{i}" for i in range(n)] for c, n in (("u", 7), ("g", 6), ("f", 6), ("d", 8))]
+    someone = lambda *more: rnd.choice([("user", rnd.choice(users), ELLIPSIS), ("user", rnd.choice(users), ELLIPSIS), *more])
+    everyone = ("user", "*", ELLIPSIS)
+    rows = {("group", g, "member", *someone(*[("group", x, "member") for x in groups[i + 1 :]], *([everyone] if g == "g5" else []))) for i, g in enumerate(groups) for _ in range(3)}
+    for f in folders:
+        rows |= {("folder", f, "viewer", *someone(everyone, ("group", rnd.choice(groups), "all"))) for _ in range(3)}
+        rows |= {("folder", f, "banned", *someone(("group", rnd.choice(groups), "member"))) for _ in range(2)}
+    for d in docs:
+        rows |= {("document", d, "folder", "folder", f, ELLIPSIS) for f in rnd.sample(folders, 2)} | {("document", d, "owner", *someone())}
+        rows |= {("document", d, "viewer", *someone(everyone, ("group", rnd.choice(groups), "member"))) for _ in range(2)} | {("document", d, "muted", *someone(everyone)) for _ in range(2)}
+    edges = [(*r, None, None) for r in sorted(rows)]
+    brute, e = Brute(schema, edges), frame(spark, edges)
+    for t, ids, permission in (("document", docs, "view"), ("document", docs, "quiet"), ("folder", folders, "view"), ("group", groups, "all")):
+        resources = spark.createDataFrame([(t, i) for i in ids] * 2, "resource_type string, resource_id string")
+        got = lookup.lookup_subjects(e, schema, resources, permission, "user").collect()
+        assert len(got) == len({(r["resource_id"], r["subject_id"]) for r in got})
+        for i in ids:
+            holds = {u for u in [*users, "fresh"] if brute.check(t, i, permission, ("user", u, ELLIPSIS), None) == T}
+            named = {r["subject_id"] for r in got if r["resource_id"] == i and not r["is_wildcard"]}
+            wild = [set(filter(None, r["excluded"].split(","))) for r in got if r["resource_id"] == i and r["is_wildcard"]]
+            assert bool(wild) == ("fresh" in holds) and named <= holds
+            assert holds == (named | set(users) - wild[0] | {"fresh"} if wild else named)
+            assert not wild or wild[0].isdisjoint(holds)
+
+
+def test_subject_sets_of_nested_groups_with_a_cycle_and_of_nothing(spark):
+    schema = parse(SETS)
+    edges = [("group", "g0", "member", "group", "g1", "member"), ("group", "g1", "member", "group", "g0", "member"), ("group", "g1", "member", "user", "ann", ELLIPSIS), ("group", "g2", "member", "group", "g0", "member")]
+    resources = spark.createDataFrame([("group", "g0"), ("group", "g2"), ("group", "none")], "resource_type string, resource_id string")
+    got = lookup.lookup_subjects(frame(spark, [(*r, None, None) for r in edges]), schema, resources, "all", "user").collect()
+    assert sorted((r["resource_id"], r["subject_id"]) for r in got) == [("g0", "ann"), ("g2", "ann")]
+    assert lookup.lookup_subjects(frame(spark, []), schema, resources, "all", "user").count() == 0
+    assert lookup.lookup_subjects(frame(spark, []), schema, resources.limit(0), "all", "user").count() == 0

@@ -31,22 +31,28 @@ NODE = ("rt", "rid", "rel", "st", "sid", "srel", "ctx")
 NONE = "array()"
 
 
+def leads_to(plans: dict[tuple[str, str], Plan], schema: Schema, k: tuple[str, str]) -> list[tuple[str, str]]:
+    """The kinds of sub-problems that one kind can lead to directly."""
+    out = []
+    for leaf in plans[k].leaves:
+        if leaf.kind == "node":
+            out.append((k[0], leaf.edge))
+        elif leaf.kind in ("this", "any", "all"):
+            for a in schema.member(k[0], leaf.edge).allowed:
+                target = a.relation if leaf.kind == "this" else leaf.target
+                if target != ELLIPSIS and (a.type, target) in plans:
+                    out.append((a.type, target))
+    return out
+
+
 def reachable_plans(plans: dict[tuple[str, str], Plan], schema: Schema, start: set[tuple[str, str]]) -> dict[tuple[str, str], Plan]:
     """The plans that sub-problems of the given kinds can lead to."""
     found, todo = {}, [k for k in start if k in plans]
     while todo:
-        t, r = k = todo.pop()
-        if k in found:
-            continue
-        found[k] = plans[k]
-        for leaf in plans[k].leaves:
-            if leaf.kind == "node":
-                todo.append((t, leaf.edge))
-            elif leaf.kind in ("this", "any", "all"):
-                for a in schema.member(t, leaf.edge).allowed:
-                    target = a.relation if leaf.kind == "this" else leaf.target
-                    if target != ELLIPSIS and (a.type, target) in plans:
-                        todo.append((a.type, target))
+        k = todo.pop()
+        if k not in found:
+            found[k] = plans[k]
+            todo += leads_to(plans, schema, k)
     return found
 
 
