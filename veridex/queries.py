@@ -12,7 +12,7 @@ from .functions import caveats
 from .operators import check, expand, lookup
 from .plans import analysis
 from .plans.schema import Caveat, Schema, parse
-from .sources import store, tuples
+from .sources import layout, store, tuples
 from .streaming import watch
 from .util import shared_dir
 from .world import table
@@ -181,12 +181,58 @@ def j3_transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.candidates(world.edges(spark, sf_dir), world.world_schema(), groups, "member", "user").groupBy("resource_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT 'order:o' || o_orderkey AS root, '' AS path, 'exclusion' AS kind, 'order:o' || o_orderkey || '#edit' AS object, '' AS subjects FROM orders
+  UNION ALL SELECT 'order:o' || o_orderkey, '/0/=owner', 'leaf', 'order:o' || o_orderkey || '#owner', 'user:c' || o_custkey FROM orders
+  UNION ALL SELECT 'order:o' || o_orderkey, '/1/=banned', 'leaf', 'order:o' || o_orderkey || '#banned', CASE WHEN o_orderstatus = 'F' AND o_custkey % 7 = 0 THEN 'user:c' || o_custkey ELSE '' END FROM orders""")
 def q_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     resources = table(spark, sf_dir, "orders").select(F.lit("order").alias("resource_type"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("resource_id"))
     return expand.expand(world.edges(spark, sf_dir), world.world_schema(), resources, "edit")
 
 
+@query("""SELECT 'nation:n' || n_nationkey AS root, '' AS path, 'union' AS kind, 'nation:n' || n_nationkey || '#view' AS object, '' AS subjects FROM nation
+  UNION ALL SELECT 'nation:n' || n_nationkey, '/1', 'any', 'nation:n' || n_nationkey || '#view', '' FROM nation
+  UNION ALL SELECT 'nation:n' || n_nationkey, '/0/=member', 'leaf', 'nation:n' || n_nationkey || '#member', coalesce((SELECT string_agg('user:c' || c_custkey, ',' ORDER BY 'user:c' || c_custkey) FROM customer WHERE c_nationkey = n_nationkey), '') FROM nation
+  UNION ALL SELECT 'nation:n' || n_nationkey, '/1/@region:r' || n_regionkey || '/=viewer', 'leaf', 'region:r' || n_regionkey || '#viewer', CASE WHEN n_regionkey = 0 THEN 'group:staff#member' ELSE 'user:c' || (3 * n_regionkey) END FROM nation""")
+def q_expand_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who may view each nation, nested groups left as they are."""
+    nations = table(spark, sf_dir, "nation").select(F.lit("nation").alias("resource_type"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("resource_id"))
+    return expand.expand(world.edges(spark, sf_dir), world.world_schema(), nations, "view", recursive=False)
+
+
+@query("SELECT 'o' || o_orderkey AS resource_id, 'c' || o_custkey AS subject_ids FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey % 7 = 0)")
+def j13_back_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers through whom each order is found by its edit permission."""
+    return lookup.back_map(lookup.lookup_resources(world.edges(spark, sf_dir), world.world_schema(), _customers(spark, sf_dir), "order", "edit"))
+
+
+@query("""SELECT 3 * c_custkey + k AS item_id, CASE WHEN k < 2 THEN 'member' END AS verdict, CASE WHEN k = 2 THEN 'unknown_relation' END AS error FROM customer, range(3) t(k)""")
+def j19_repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's segment asked twice, and a permission that does not exist: an answer or an error for every item."""
+    segment = F.concat(F.lit("seg_"), F.lower("c_mktsegment"))
+    items = table(spark, sf_dir, "customer").select("c_custkey", segment.alias("resource_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select(
+        (3 * F.col("c_custkey") + F.col("k")).alias("item_id"), F.lit("group").alias("resource_type"), "resource_id", F.when(F.col("k") < 2, "member").otherwise("nobody").alias("permission"),
+        F.lit("user").alias("subject_type"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("subject_id"), F.lit("...").alias("subject_relation"),
+    )
+    return check.bulk_check(world.edges(spark, sf_dir), world.world_schema(), items).select("item_id", "verdict", "error")
+
+
+SELF_TEXT = "use self definition user { relation friend: user permission me = self permission close = self + friend permission none = nil permission all_but = friend - nil }"
+
+
+@query("""SELECT c_custkey || '/' || p || '/' || d AS item_id, CASE WHEN (p = 'me' AND d = 0) OR (p = 'close' AND d < 2) OR (p = 'all_but' AND d = 1) THEN 'member' ELSE 'not_member' END AS verdict
+  FROM customer, (VALUES ('me'), ('close'), ('none'), ('all_but')) a(p), range(3) b(d)""")
+def so6_self_and_nil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is friends with the next; each is asked about, by the three that follow (the first is the customer)."""
+    customers = table(spark, sf_dir, "customer")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("caveat_name", "string"), ("caveat_context", "string"), ("expires_at", "timestamp"))]
+    key = F.col("c_custkey")
+    edges = customers.select(F.lit("user").alias("resource_type"), name(key).alias("resource_id"), F.lit("friend").alias("resource_relation"), F.lit("user").alias("subject_type"), name(key + 1).alias("subject_id"), F.lit("...").alias("subject_relation"), *none)
+    asked = customers.select(key, F.explode(F.array(*map(F.lit, ("me", "close", "none", "all_but")))).alias("permission")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("d"))
+    items = asked.select(F.concat_ws("/", key.cast("string"), "permission", F.col("d").cast("string")).alias("item_id"), F.lit("user").alias("resource_type"), name(key).alias("resource_id"), "permission", F.lit("user").alias("subject_type"), name(key + F.col("d")).alias("subject_id"), F.lit("...").alias("subject_relation"))
+    return check.bulk_check(edges, parse(SELF_TEXT), items).select("item_id", "verdict")
+
+
 # Reads, filters, text -----------------------------------------------------------------------------------------------------
 EDGES_SQL = f"WITH {world.RELS_SQL} SELECT rt AS resource_type, rid AS resource_id, rel AS resource_relation, st AS subject_type, sid AS subject_id, srel AS subject_relation FROM rels"
 TEXT_SQL = "rt || ':' || rid || '#' || rel || '@' || st || ':' || sid || CASE WHEN srel = '...' THEN '' ELSE '#' || srel END"
@@ -250,6 +296,68 @@ def sc10_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("line", tuples.parse(F.col("line"))[0].isNotNull().alias("parsed"))
 
 
+_laid_out: dict[tuple[str, str], str] = {}
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> str:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _laid_out:
+        root = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+        layout.write(world.edges(spark, sf_dir), root)
+        _laid_out[key] = root
+    return _laid_out[key]
+
+
+@query(f"{EDGES_SQL} WHERE rt = 'order' AND rid IN ('o1', 'o11', 'o97', 'o770')")
+def sc5_sharded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of some orders out of the layout by resource."""
+    return layout.read(spark, _layout(spark, sf_dir), tuples.SCHEMA, "resource", "order", ["o1", "o11", "o97", "o770"]).select(*tuples.KEY)
+
+
+@query(f"{EDGES_SQL} WHERE st = 'user' AND sid IN (SELECT 'c' || c_custkey FROM customer)")
+def sc6_subject_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges that name a customer, out of the layout by subject."""
+    return layout.beside(_customers(spark, sf_dir), _layout(spark, sf_dir), tuples.SCHEMA, "subject").select(*tuples.KEY)
+
+
+@query(f"WITH {world.RELS_SQL} SELECT st AS type, sid AS id, srel AS relation, count(*) AS n FROM rels WHERE sid <> '' GROUP BY st, sid, srel")
+def sc10_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects' text there and back."""
+    written = world.edges(spark, sf_dir).select(tuples.onr_text("subject_type", "subject_id", "subject_relation").alias("t"))
+    return written.select(*tuples.parse_object(F.col("t"))).groupBy("type", "id", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store of the world's schema and, by one bulk import, all of its edges."""
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    s.write_schema(world.SCHEMA_TEXT)
+    s.import_bulk(world.edges(spark, sf_dir))
+    return s
+
+
+@query(f"WITH {world.RELS_SQL} SELECT {TEXT_SQL} AS tuple FROM rels")
+def sc12_import_and_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges imported in one revision, exported as text files, and read again."""
+    s = _store(spark, sf_dir)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    s.export_bulk(path)
+    edges, _ = tuples.read_text(spark, path)
+    return edges.select(tuples.text(edges).alias("tuple"))
+
+
+@query(f"""{EDGES_SQL} WHERE NOT (rt = 'order' AND rel = 'banned') AND NOT (rt = 'region' AND rid = 'r1' AND rel = 'viewer')
+  UNION ALL SELECT 'nation', 'n0', 'member', 'user', 'newcomer', '...'""")
+def w1_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revision that creates an edge, touches one that is there, deletes one, and deletes by a filter, behind two preconditions."""
+    s = _store(spark, sf_dir)
+    update = lambda op, *key: (op, *key, None, None, None)
+    rows = [update("create", "nation", "n0", "member", "user", "newcomer", "..."), update("touch", "nation", "n0", "region", "region", "r0", "..."), update("delete", "region", "r1", "viewer", "user", "c3", "...")]
+    of = lambda **k: tuples.relationships("nation", ["n0"], **k)
+    tests = [("must_match", of(relation="region")), ("must_not_match", of(selectors=[tuples.subjects("user", ["newcomer"])]))]
+    s.write(spark.createDataFrame(rows, "op string, " + tuples.SCHEMA), preconditions=tests, delete=tuples.relationships("order", relation="banned"))
+    return s.snapshot().select(*tuples.KEY)
+
+
 @query(f"WITH {world.RELS_SQL} SELECT rt AS resource_type, rel AS resource_relation, count(*) AS n FROM rels GROUP BY rt, rel")
 def a1_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.edges(spark, sf_dir).groupBy("resource_type", "resource_relation").agg(F.count(F.lit(1)).alias("n"))
