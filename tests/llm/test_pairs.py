@@ -163,3 +163,33 @@ def test_hashing_scans_little_where_data_allow(spark, monkeypatch):
     s = x[:100] @ x.T
     want = np.argsort(-s, axis=1)[:, :20]
     assert np.mean([met[i, w].mean() for i, w in enumerate(want)]) >= 0.9
+
+
+def test_nearest_neighbours_rows_made(spark, monkeypatch):
+    """Vectors spread evenly over many cells: what the cells give back does not grow with their number, and all that counts is there."""
+    monkeypatch.setattr(ann, "CELL", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "class_id long, e array<double>").cache()
+    tables = ann.Tables(8, 1.0, ann.expected(x, 1.0, 6))
+    got: dict = {}
+    rows = ann.hashed(classes, classes.where("class_id % 20 = 0"), len(x), lambda dim: tables, 6).collect()
+    for r in rows:
+        got.setdefault(r["class_id"], {})[r["near_id"]] = r["score"]
+    classes.unpersist()
+    first, every, met = 3, 0, np.zeros((50, len(x)), bool)
+    for t in range(ann.TABLES):
+        slots = tables.places(tables.completed(x), t)[0]
+        own, cell = ann._codes(slots), ann._codes(slots[:, :first])
+        h, rest = tables.places(tables.scaled(x[::20]), t)
+        for i, (o, steps) in enumerate(zip(ann._codes(h), tables.probes(rest))):
+            with np.errstate(over="ignore"):
+                here = np.isin(own, ann._codes(tables.steps)[steps] + o)
+            met[i] |= here
+            every += np.minimum(np.unique(cell[here], return_counts=True)[1], 6).sum()  # the 6 best of each cell
+    for i in range(50):
+        s = np.where(met[i], (x * x[20 * i]).sum(axis=1), -np.inf)
+        want = sorted(np.flatnonzero(met[i]).tolist(), key=lambda j: (-s[j], j))[:6]
+        assert sorted(got[20 * i], key=lambda j: (-got[20 * i][j], j))[:6] == want
+    assert len(rows) < every / 3, (len(rows), every)

@@ -11,6 +11,9 @@ vectors where they spread evenly. A vector goes to its cell in each table, a que
 visits, and in a cell only vectors in visited buckets are candidates. A cell with more than ``BLOCK`` vectors or
 ``QUERIES`` queries is dealt out by hash, so no task depends on how full a bucket is.
 
+A query is answered in its own cells first. The score of the last row it needs among those answers is its floor: the other
+cells give back only what reaches it, so the rows made do not grow with the number of cells visited, and none is lost.
+
 A query left with fewer than ``k + 1`` classes, though its vector length has more, is scored against all vectors in blocks:
 the expected distance is one for all queries, and too small for those that lie apart.
 
@@ -101,23 +104,28 @@ def _codes(h: np.ndarray) -> np.ndarray:
         return (h.astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
 
 
-def best_of(ids: np.ndarray, x: np.ndarray, lengths: float, q: np.ndarray, hits: np.ndarray, k: int):
-    """(place of the query, ids, scores) of the k best of the vectors that ``hits`` marks for each query, ties of the last one by smaller ids."""
+def best_of(ids: np.ndarray, x: np.ndarray, lengths: float, q: np.ndarray, floor: np.ndarray, hits: np.ndarray, k: int):
+    """(place of the query, ids, scores) of the k best of the vectors that ``hits`` marks for each query and that reach its floor, ties of the last one by smaller ids."""
     dense = q @ x.T if hits.mean() > 0.1 else None
     for i in range(len(q)):
         at = np.flatnonzero(hits[i])
-        if not len(at):
-            continue
         s = dense[i, at] if dense is not None else x[at] @ q[i]
-        if len(at) > k:  # what rounding may have put below the k-th stays in
-            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * lengths * np.linalg.norm(q[i])]
+        # what rounding may have put below the floor or the k-th stays in
+        slack = 1e-9 * lengths * np.linalg.norm(q[i])
+        near = s >= floor[i] - slack
+        at, s = at[near], s[near]
+        if len(at) > k:
+            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - slack]
         s = (x[at] * q[i]).sum(axis=1)
+        at, s = at[s >= floor[i]], s[s >= floor[i]]
+        if not len(at):
+            continue
         best = np.lexsort((ids[at], -s))[:k]
         yield i, ids[at][best], s[best]
 
 
-def search_cell(tables: Tables, t: int, ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int):
-    """The best of those vectors of a cell whose buckets in table t each query visits."""
+def search_cell(tables: Tables, t: int, ids: np.ndarray, x: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+    """The best of those vectors of a cell whose buckets in table t each query visits, from its floor up."""
     buckets, of = np.unique(_codes(tables.places(tables.completed(x), t)[0]), return_inverse=True)
     stepped, scaled = _codes(tables.steps), tables.scaled(q)
     for lo in range(0, len(q), 64):
@@ -126,7 +134,7 @@ def search_cell(tables: Tables, t: int, ids: np.ndarray, x: np.ndarray, q: np.nd
         for i, (own, steps) in enumerate(zip(_codes(h), tables.probes(rest))):
             with np.errstate(over="ignore"):
                 visited[i] = np.isin(buckets, stepped[steps] + own)
-        for i, got, s in best_of(ids, x, tables.norm, q[lo : lo + 64], visited[:, of], k):
+        for i, got, s in best_of(ids, x, tables.norm, q[lo : lo + 64], floor[lo : lo + 64], visited[:, of], k):
             yield lo + i, got, s
 
 
@@ -135,8 +143,8 @@ def _array(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(len(column), dim)
 
 
-def _cells(make, first: int, ids: str, probing: bool):
-    """Rows of (dim, t, cell, id, e): each vector in its cell of each table, or each query in all cells it visits."""
+def _cells(make, first: int, role: str):
+    """Rows of (dim, t, cell) and the columns given: each vector in its cell of each table, each query in its own cell ("home") or in the others it visits ("away")."""
 
     def run(batches):
         for b in batches:
@@ -146,19 +154,20 @@ def _cells(make, first: int, ids: str, probing: bool):
                 tables, x = make(dim), _array(part.column("e"), dim)
                 moved = _codes(tables.steps[:, :first])
                 for t in range(TABLES):
-                    h, rest = tables.places((tables.scaled if probing else tables.completed)(x), t)
+                    h, rest = tables.places((tables.completed if role == "vector" else tables.scaled)(x), t)
                     own = _codes(h[:, :first])
-                    if probing:
+                    if role == "away":
                         with np.errstate(over="ignore"):
-                            seen = [np.unique(moved[steps]) + o for o, steps in zip(own, tables.probes(rest))]
+                            seen = [(c := np.unique(moved[steps]) + o)[c != o] for o, steps in zip(own, tables.probes(rest))]
                         at, cell = np.repeat(np.arange(len(x)), [len(c) for c in seen]), np.concatenate(seen)
                     else:
                         at, cell = np.arange(len(x)), own
                     n = len(at)
+                    taken = part.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cell.view(np.int64)), part.column(ids).take(pa.array(at)), part.column("e").take(pa.array(at))],
-                        names=["dim", "t", "cell", ids, "e"],
-                    )
+                        [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(cell.view(np.int64)), *taken.columns],
+                        names=["dim", "t", "cell", *taken.schema.names],
+                    )
 
     return run
 
@@ -173,14 +182,13 @@ def _found(rows) -> pa.Table:
     return pa.table({"class_id": pa.array(a.astype(np.int64)), "near_id": pa.array(b.astype(np.int64)), "score": pa.array(s.astype(float))})
 
 
-def hashed(classes: DataFrame, wanted: DataFrame, n: int, make, k: int) -> DataFrame:
-    """The best candidates of each class in ``wanted`` in each cell it visits."""
+def in_cells(classes: DataFrame, wanted: DataFrame, first: int, role: str, make, k: int) -> DataFrame:
+    """The best candidates, from its floor up, of each class in ``wanted`` in its own cells or in the others it visits."""
     spark = classes.sparkSession
-    first = min(HASHES, max(1, ceil(log(max(1.0, n / CELL), SPREAD))))
     kind = classes.schema["e"].dataType.simpleString()
     keys = ["dim", "t", "cell"]
-    placed = classes.select("class_id", "e").mapInArrow(_cells(make, first, "class_id", False), f"dim int, t int, cell long, class_id long, e {kind}")
-    asked = wanted.select(F.col("class_id").alias("query"), "e").mapInArrow(_cells(make, first, "query", True), f"dim int, t int, cell long, query long, e {kind}")
+    placed = classes.select("class_id", "e").mapInArrow(_cells(make, first, "vector"), f"dim int, t int, cell long, class_id long, e {kind}")
+    asked = wanted.select(F.col("class_id").alias("query"), "e", "floor").mapInArrow(_cells(make, first, role), f"dim int, t int, cell long, query long, e {kind}, floor double")
     # written, so that the size of what the joins below could broadcast is known and checked
     folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
     facts = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).join(asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("qparts")), keys)
@@ -188,18 +196,29 @@ def hashed(classes: DataFrame, wanted: DataFrame, n: int, make, k: int) -> DataF
     facts = spark.read.parquet(folder)
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = placed.join(facts, keys).select(*keys, F.pmod(F.xxhash64("class_id"), F.col("parts")).alias("part"), spread("qparts").alias("qpart"), "class_id", "e")
-    right = asked.join(facts, keys).select(*(F.col(c).alias(f"q{c}") for c in keys), spread("parts").alias("of"), F.pmod(F.xxhash64("query", F.lit(1)), F.col("qparts")).alias("qof"), "query", F.col("e").alias("qe"))
+    right = asked.join(facts, keys).select(*(F.col(c).alias(f"q{c}") for c in keys), spread("parts").alias("of"), F.pmod(F.xxhash64("query", F.lit(1)), F.col("qparts")).alias("qof"), "query", F.col("e").alias("qe"), "floor")
 
     def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _found([])
         dim, t = key[0].as_py(), key[1].as_py()
-        asked = right.column("query").to_numpy()
-        return _found([(asked[i], got, s) for i, got, s in search_cell(make(dim), t, left.column("class_id").to_numpy(), _array(left.column("e"), dim), _array(right.column("qe"), dim), k)])
+        ids, x, q, asked = left.column("class_id").to_numpy(), _array(left.column("e"), dim), _array(right.column("qe"), dim), right.column("query").to_numpy()
+        return _found([(asked[i], got, s) for i, got, s in search_cell(make(dim), t, ids, x, q, right.column("floor").to_numpy(), k)])
 
     return left.groupBy(*keys, "part", "qpart").cogroup(right.groupBy("qdim", "qt", "qcell", "of", "qof")).applyInArrow(task, FOUND)
 
 
+def hashed(classes: DataFrame, wanted: DataFrame, n: int, make, k: int) -> DataFrame:
+    """The best candidates of each class in ``wanted`` in the cells it visits, its k best among them."""
+    first = min(HASHES, max(1, ceil(log(max(1.0, n / CELL), SPREAD))))
+    wanted, none = wanted.select("class_id", "e"), F.lit(float("-inf"))
+    home = settle(in_cells(classes, wanted.withColumn("floor", none), first, "home", make, k).groupBy("class_id", "near_id").agg(F.max("score").alias("score")))
+    ranked = home.withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("score"), "near_id")))
+    floors = ranked.where(F.col("r") == k).select("class_id", F.col("score").alias("floor"))
+    bounded = settle(wanted.join(floors, "class_id", "left").withColumn("floor", F.coalesce("floor", none)))
+    return home.unionByName(in_cells(classes, bounded, first, "away", make, k))
+
+
 def everything(classes: DataFrame, wanted: DataFrame, n: int, n_asked: int, norm: float, k: int) -> DataFrame:
     """The best of each block of all vectors for each class in ``wanted``."""
     blocks, query_blocks = -(-n // BLOCK), -(-n_asked // QUERIES)
@@ -209,7 +228,7 @@ def everything(classes: DataFrame, wanted: DataFrame, n: int, n_asked: int, norm
             return _found([])
         dim = key[0].as_py()
         ids, x, q, asked = left.column("class_id").to_numpy(), _array(left.column("e"), dim), _array(right.column("qe"), dim), right.column("query").to_numpy()
-        return _found([(asked[lo + i], got, s) for lo in range(0, len(q), 64) for i, got, s in best_of(ids, x, norm, q[lo : lo + 64], np.ones((len(q[lo : lo + 64]), len(x)), bool), k)])
+        return _found([(asked[lo + i], got, s) for lo in range(0, len(q), 64) for i, got, s in best_of(ids, x, norm, q[lo : lo + 64], np.full(64, -np.inf), np.ones((len(q[lo : lo + 64]), len(x)), bool), k)])
 
     spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     left = classes.select("class_id", "e", F.size("e").alias("dim"), F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("vb"), spread(query_blocks).alias("qb"))
