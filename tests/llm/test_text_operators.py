@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -172,6 +173,38 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(lat.forward([w], lat.start)[0], brute(w), rel_tol=1e-9)
 
 
+def test_lattice_takes_many_words_at_once(monkeypatch):
+    """Words that come in small batches go through the lattice together, with the same numbers in the same order; long ones are not piled up."""
+    model = spm.default_model()
+    words = sorted({w for i in range(10) for w in prose(i, 600).split()})
+    table = pa.table({"word": words, "c": pa.array(range(1, len(words) + 1), pa.int64())})
+    calls, plain = [], lmscore.Lattice.forward
+
+    def counted(self, some, *args, **kw):
+        calls.append(len(some))
+        return plain(self, some, *args, **kw)
+
+    monkeypatch.setattr(lmscore.Lattice, "forward", counted)
+
+    def run(make, rows):
+        calls.clear()
+        got = pa.Table.from_batches(make(iter(table.to_batches(max_chunksize=rows))))
+        return got, len(calls)
+
+    class Held:
+        value = lmscore.lattice(model).start
+
+    lengths = len({len(w) for w in words})
+    for make, column in ((lmscore._expect(model, None), "n"), (lmscore._weigh(model, Held), "lp")):
+        small, n_small = run(make, 20)
+        whole, n_whole = run(make, len(words))
+        assert len(words) > 40 * lengths and n_small == n_whole <= 2 * lengths
+        assert small.column(0).equals(whole.column(0)) and np.allclose(small.column(column), whole.column(column), rtol=1e-9)
+    long = [pa.record_batch({"word": ["x" * lmscore.TOGETHER_BYTES], "c": [1]}) for _ in range(3)]
+    assert [b.num_rows for b in lmscore.together(long)] == [1, 1, 1]
+    assert [b.num_rows for b in lmscore.together(table.to_batches(max_chunksize=20))] == [len(words)] and list(lmscore.together([])) == []
+
+
 def water_fill(sizes, weights, share=1.5, most=2.0):
     targets, full, left = {}, set(), share * sum(sizes.values())
     while True:

@@ -43,6 +43,8 @@ PART_BYTES = 16 << 20
 #: Observations that the vocabulary's own weights stand for, per piece of the vocabulary.
 PRIOR = 1.0
 RANK_OFFSET = 10.0
+#: Words that go through the lattice together, and bytes of them.
+TOGETHER, TOGETHER_BYTES = 1 << 14, 4 << 20
 
 
 class Lattice(spm.Pieces):
@@ -138,11 +140,24 @@ def _list(key, t):
     return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary()).cast(pa.string()), "n": pa.array([n[w] for w in words], pa.int64())})
 
 
+def together(batches):
+    """Batches joined up to ``TOGETHER`` rows and ``TOGETHER_BYTES`` bytes: a step of the recursion costs about the same for a few words of a length as for hundreds."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        if held and (rows + b.num_rows > TOGETHER or size + b.nbytes > TOGETHER_BYTES):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expect(model, weight):
     def run(batches):
         lat = lattice(model)
         total = np.zeros(lat.size)
-        for b in batches:
+        for b in together(batches):
             words, c = marked(b.column("word").to_pylist()), np.asarray(b.column("c"), float)
             for at in lat.by_length(words):
                 lat.forward([words[i] for i in at], weight if weight is not None else lat.start, c[at], total)
@@ -156,7 +171,7 @@ def _weigh(model, weight):
     def run(batches):
         lat = lattice(model)
         w = weight.value
-        for b in batches:
+        for b in together(batches):
             words = b.column("word").to_pylist()
             spelled, out, own = marked(words), np.zeros(len(words)), np.zeros(len(words))
             for at in lat.by_length(spelled):
