@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.schema import parse
+from .sources.tuples import SCHEMA
 from .util import shared_dir
 
 SCHEMA_TEXT = """
@@ -86,6 +87,8 @@ definition order {
 """
 
 COLUMNS = ("resource_type", "resource_id", "resource_relation", "subject_type", "subject_id", "subject_relation", "caveat_name", "caveat_context", "expires_at")
+#: A task that drops equal rows holds about so many: 1 million rows of whole numbers.
+ROWS_A_TASK = 1_000_000
 _COLUMNS = ("resource_type", "resource_id", "resource_relation", "subject_type", "subject_id", "subject_relation")
 
 
@@ -116,13 +119,17 @@ _stored: dict[tuple[str, str, str], str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """Relationships are a stored table, written once a session: every level of a check is then a plain scan with pushed filters."""
+    """Relationships are a stored table, written once a session: every level of a check is then a plain scan with pushed filters.
+
+    Each type's folder is written by itself: a write that deals rows to folders sorts all of them first.
+    """
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _stored:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        make(spark, sf_dir).write.partitionBy("resource_type").parquet(path)
+        for type_, df in make(spark, sf_dir):
+            df.drop("resource_type").write.parquet(f"{path}/resource_type={type_}")
         _stored[key] = path
-    return spark.read.parquet(_stored[key]).select(*COLUMNS)
+    return spark.read.schema(SCHEMA).parquet(_stored[key]).select(*COLUMNS)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,38 +141,49 @@ def caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conditional", derive_caveat_edges)
 
 
-def derive_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_edges(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
+    """The edges of each type of resource."""
     t = lambda n: table(spark, sf_dir, n)
     nation, customer, region, orders, supplier, lineitem = map(t, ("nation", "customer", "region", "orders", "supplier", "lineitem"))
     segment = F.concat(F.lit("seg_"), F.lower("c_mktsegment"))
     owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     one = spark.range(1)
-    lines = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + lineitem.count() // ROWS_A_TASK)
+    lines = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey").repartition(parts, "l_orderkey", "l_linenumber")
+    held = lineitem.select("l_partkey", "l_suppkey").repartition(parts, "l_partkey", "l_suppkey")
     line_id = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
-    return reduce(
-        DataFrame.unionAll,
-        [
+    of = {
+        "nation": [
             _edge(nation, "nation", _id("n", "n_nationkey"), "region", "region", _id("r", "n_regionkey")),
             _edge(customer, "nation", _id("n", "c_nationkey"), "member", "user", _id("c", "c_custkey")),
+        ],
+        "group": [
             _edge(customer, "group", segment, "member", "user", _id("c", "c_custkey")),
             _edge(customer.select("c_mktsegment").distinct(), "group", "all", "member", "group", segment, "member"),
             _edge(one, "group", "staff", "member", "group", "all", "member"),
+        ],
+        "region": [
             _edge(one, "region", "r0", "viewer", "group", "staff", "member"),
             _edge(region.where("r_regionkey > 0"), "region", _id("r", "r_regionkey"), "viewer", "user", F.concat(F.lit("c"), (F.col("r_regionkey") * 3).cast("string"))),
+        ],
+        "order": [
             _edge(orders, "order", _id("o", "o_orderkey"), "owner", "user", _id("c", "o_custkey")),
             _edge(owned, "order", _id("o", "o_orderkey"), "nation", "nation", _id("n", "c_nationkey")),
             _edge(orders.where("o_orderstatus = 'F' and o_custkey % 7 = 0"), "order", _id("o", "o_orderkey"), "banned", "user", _id("c", "o_custkey")),
             _edge(orders.where("o_orderkey % 97 = 0"), "order", _id("o", "o_orderkey"), "viewer", "user", "*"),
             _edge(owned.where("o_orderkey % 11 = 0"), "order", _id("o", "o_orderkey"), "viewer", "group", segment, "member"),
-            _edge(supplier, "supplier", _id("s", "s_suppkey"), "nation", "nation", _id("n", "s_nationkey")),
+        ],
+        "supplier": [_edge(supplier, "supplier", _id("s", "s_suppkey"), "nation", "nation", _id("n", "s_nationkey"))],
+        "lineitem": [
             _edge(lines.select("l_orderkey", "l_linenumber").distinct(), "lineitem", line_id, "order", "order", _id("o", "l_orderkey")),
             _edge(lines.distinct(), "lineitem", line_id, "supplier", "supplier", _id("s", "l_suppkey")),
-            _edge(lineitem.select("l_partkey", "l_suppkey").distinct(), "part", _id("p", "l_partkey"), "supplier", "supplier", _id("s", "l_suppkey")),
         ],
-    )
+        "part": [_edge(held.distinct(), "part", _id("p", "l_partkey"), "supplier", "supplier", _id("s", "l_suppkey"))],
+    }
+    return [(type_, reduce(DataFrame.unionAll, dfs)) for type_, dfs in of.items()]
 
 
-def derive_caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_caveat_edges(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     """Orders viewed up to the owner's balance, from the owner's network, and on leases that end."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -177,11 +195,12 @@ def derive_caveat_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     null, never = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
     balance = F.concat(F.lit('{"max": '), F.col("c_acctbal").cast("string"), F.lit("}"))
     net = F.concat(F.lit('{"cidr": "10.'), (F.col("o_custkey") % 200).cast("string"), F.lit('.0.0/16"}'))
-    return (
+    rows = (
         with_columns(owned, "viewer", F.lit("limit_ok"), balance, never)
         .unionAll(with_columns(owned, "remote", F.lit("ip_ok"), net, never))
         .unionAll(with_columns(orders.where("o_orderkey % 3 = 0"), "lease", null, null, F.col("o_orderdate").cast("timestamp") + F.expr("interval 30 days")))
     )
+    return [("order", rows)]
 
 
 def check_items(spark: SparkSession, sf_dir: str, permission: str = "view") -> DataFrame:
