@@ -1,10 +1,30 @@
 """What jobs cost as tables grow: rows that go through shuffles, and what a single task holds."""
 
+import pytest
+
 from veridex import world
+from veridex.operators import check
+from veridex.plans.schema import ELLIPSIS, parse
+from veridex.sources.tuples import SCHEMA
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def shuffled(spark, run):
+    """Rows written to shuffles while ``run`` runs."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def rows():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = rows()
+    run()
+    return sum(n for k, n in rows().items() if k not in before)
+
+
 def test_each_types_edges_are_written_by_themselves_in_tasks_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(world, "ROWS_A_TASK", 500)
     made = dict(world.derive_edges(spark, SMALL))
@@ -12,3 +32,26 @@ def test_each_types_edges_are_written_by_themselves_in_tasks_of_bounded_rows(spa
     assert {t: df.select("resource_type").distinct().collect() for t, df in made.items()} == {t: [(t,)] for t in made}
     assert made["lineitem"].rdd.getNumPartitions() >= 2 * (lines // 500) and made["part"].rdd.getNumPartitions() >= lines // 500
     assert "Sort" not in made["lineitem"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_check_shuffles_a_few_rows_for_each_item(spark):
+    schema = parse("definition user {} definition doc { relation a: user relation b: user relation c: user relation d: user relation e: user permission view = (a + b + c + d) - e }")
+    n = 3000
+    edges = spark.range(n).selectExpr("'doc' resource_type", "concat('d', id) resource_id", "'b' resource_relation", "'user' subject_type", "concat('u', id) subject_id", "'...' subject_relation", "string(null) caveat_name", "string(null) caveat_context", "timestamp(null) expires_at")
+    items = spark.range(2 * n).selectExpr("id item_id", "'doc' resource_type", "concat('d', id % 3000) resource_id", "'view' permission", "'user' subject_type", "concat('u', id) subject_id", "'...' subject_relation")
+    got = []
+    rows = shuffled(spark, lambda: got.extend(check.bulk_check(edges, schema, items).collect()))
+    assert len(got) == 2 * n and sum(r["verdict"] == "member" for r in got) == n
+    assert rows < 6 * 2 * n  # five relations, and no relation has wildcards or usersets
+
+
+@pytest.mark.parametrize("wide", [14, 15, 16, 40])
+def test_permissions_of_many_relations(spark, wide):
+    names = [f"rel{i:02d}" for i in range(wide)]
+    text = " ".join(f"relation {r}: user" for r in names)
+    schema = parse(f"definition user {{}} definition doc {{ {text} permission some = {' + '.join(names)} permission every = {' & '.join(names)} }}")
+    rows = [("doc", "one", r, "user", "all", ELLIPSIS, None, None, None) for r in names] + [("doc", "one", names[-1], "user", "last", ELLIPSIS, None, None, None)]
+    items = spark.createDataFrame([(f"{p}/{u}", p, u) for p in ("some", "every") for u in ("all", "last", "none")], "item_id string, permission string, subject_id string")
+    items = items.selectExpr("*", "'doc' resource_type", "'one' resource_id", "'user' subject_type", "'...' subject_relation")
+    got = {r["item_id"] for r in check.bulk_check(spark.createDataFrame(rows, SCHEMA), schema, items).collect() if r["verdict"] == "member"}
+    assert got == {"some/all", "some/last", "every/all"}

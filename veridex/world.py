@@ -204,10 +204,10 @@ def derive_caveat_edges(spark: SparkSession, sf_dir: str) -> list[tuple[str, Dat
 
 
 def check_items(spark: SparkSession, sf_dir: str, permission: str = "view") -> DataFrame:
-    """Each order against its owner and the customer after."""
+    """Each order against its owner and the customer after, each pair once."""
     orders = table(spark, sf_dir, "orders")
     n = table(spark, sf_dir, "customer").count()
-    who = orders.select("o_orderkey", F.explode(F.array(F.col("o_custkey"), (F.col("o_custkey") + 1) % n)).alias("c"))
+    who = orders.select("o_orderkey", F.explode(F.array(F.col("o_custkey"), (F.col("o_custkey") + 1) % n)).alias("c")).distinct()
     return who.select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("/c"), F.col("c").cast("string")).alias("item_id"), F.lit("order").alias("resource_type"), _id("o", "o_orderkey").alias("resource_id"),
         F.lit(permission).alias("permission"), F.lit("user").alias("subject_type"), _id("c", "c").alias("subject_id"), F.lit("...").alias("subject_relation"), F.lit(None).cast("string").alias("context"),
