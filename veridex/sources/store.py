@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from ..plans.analysis import schema_hash
 from ..plans.schema import Allowed, Schema, SchemaError, parse, validate
+from ..util import written
 from .tuples import KEY, SCHEMA, relationships, text
 
+#: A task that groups hashes holds about so many.
+ROWS_A_TASK = 1_000_000
 LOG = "rev bigint, op string, " + SCHEMA
 MAX_UPDATES = MAX_PRECONDITIONS = 1000
 MAX_CAVEAT_CONTEXT, MAX_METADATA = 25_000, 65_000
@@ -77,6 +80,32 @@ def conflicts(live: DataFrame, created: DataFrame) -> DataFrame:
     return created.select(*KEY).join(live.select(*KEY), list(KEY), "left_semi").unionByName(twice).distinct()
 
 
+def repeats(rows: DataFrame) -> bool:
+    """Whether a key comes twice. Hashes of keys are grouped, in tasks of bounded rows; equal ones only propose, their keys decide."""
+    hashed = rows.select(*KEY, F.xxhash64(*KEY).alias("_h"))
+    again = hashed.select("_h").repartition(1 + rows.count() // ROWS_A_TASK, "_h").groupBy("_h").count().where("count > 1").select("_h")
+    again = written(again, "repeats")
+    if not again.limit(1).count():
+        return False
+    return bool(hashed.join(again, "_h", "left_semi").groupBy(*KEY).count().where("count > 1").limit(1).count())
+
+
+def state(base: DataFrame, later: DataFrame, rev: int) -> DataFrame:
+    """The live rows at a revision of a table with one live row a key, all touches, and of the log after it.
+
+    Rows of relations that the later log does not name are passed on as they are; so a read costs the table's size once and
+    its own changes, not a sort of all.
+    """
+    names = ["resource_type", "resource_relation"]
+    met = [tuple(r) for r in later.select(*names).distinct().collect()]  # at most the schema's
+    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    if not met:
+        return base.select(*columns)
+    named = reduce(lambda a, b: a | b, [(F.col("resource_type") == t) & (F.col("resource_relation") == r) for t, r in met])
+    kept = base.where(named).join(later.select(*KEY).distinct(), list(KEY), "left_anti")
+    return base.where(~named).select(*columns).unionByName(kept.select(*columns)).unionByName(at(fold(later), rev).select(*columns))
+
+
 def first_by_key(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(*KEY).limit(limit)
 
@@ -221,13 +250,15 @@ class Store:
             if self._fs.exists(draft):
                 self._fs.delete(draft, False)
 
-    def _commit(self, expected: int, rows: DataFrame | None, meta: dict) -> int:
+    def _commit(self, expected: int, rows: DataFrame | None, meta: dict, bulk: bool = False) -> int:
         if self.head != expected:
             raise StoreError("conflict", f"the head is {self.head}, not {expected}")
         rev = max(time.time_ns(), expected + 1)
         folder = f"r{rev:020d}-{uuid.uuid4().hex[:8]}"
         if rows is not None:
             rows.select(F.lit(rev).alias("rev"), "op", *[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.root}/log/{folder}")
+        if bulk:
+            meta = meta | {"bulk": [*meta.get("bulk", []), rev]}
         own = {} if "rev" in meta else {"metadata": meta.get("metadata")}  # metadata of an earlier commit stays with that
         meta = {k: v for k, v in meta.items() if k != "metadata"} | own | {"rev": rev, "rows": folder if rows is not None else None}
         if not self._claim(f"{self.root}/commits/{expected:020d}.json", json.dumps(meta).encode()):
@@ -253,10 +284,16 @@ class Store:
         floor = meta["floor"]
         if rev < floor:
             raise StoreError("expired_revision", f"{rev} is below the floor")
-        log = self.log(floor, rev)
         if meta.get("base"):
-            log = self.spark.read.schema(LOG).parquet(f"{self.root}/base/{meta['base']}").unionByName(log)
-        return at(fold(log), rev).drop("created_rev", "deleted_rev")
+            return state(self.spark.read.schema(LOG).parquet(f"{self.root}/base/{meta['base']}"), self.log(floor, rev), rev)
+        bulk = next((r for r in self._bulk() if r <= rev), None)
+        if bulk is not None and not self.log(floor, bulk - 1).limit(1).count():  # the first rows of all: one touch a key
+            return state(self.log(bulk - 1, bulk), self.log(bulk, rev), rev)
+        return at(fold(self.log(floor, rev)), rev).drop("created_rev", "deleted_rev")
+
+    def _bulk(self) -> list[int]:
+        """The revisions of bulk imports, in order."""
+        return self._meta().get("bulk", [])
 
     def schema(self, rev: int | None = None) -> Schema:
         return parse(self._meta(rev)["schema"])
@@ -299,9 +336,11 @@ class Store:
         for i, (kind, c) in enumerate(tests):
             if bool(live.where(c).limit(1).count()) != (kind == "must_match"):
                 raise StoreError("precondition", f"{kind} {i} has {'no' if kind == 'must_match' else 'a'} match")
-        if conflicts(live, updates.where("op = 'create'")).limit(1).count():
+        named = updates.select("resource_type", "resource_id").distinct().collect()  # MAX_UPDATES at most
+        near = live.where(F.col("resource_type").isin(sorted({r[0] for r in named})) & F.col("resource_id").isin(sorted({r[1] for r in named})))
+        if conflicts(near, updates.where("op = 'create'")).limit(1).count():
             raise StoreError("already_exists", "a relationship to create exists")
-        gone = updates.where("op = 'delete'").join(live.select(*KEY), list(KEY), "left_semi")  # of what is not there, nothing is deleted
+        gone = updates.where("op = 'delete'").join(near.select(*KEY), list(KEY), "left_semi")  # of what is not there, nothing is deleted
         rows = updates.where("op <> 'delete'").withColumn("op", F.lit("touch")).unionByName(gone.select(*updates.columns))
         if delete is not None:
             swept = live.where(delete).join(updates.select(*KEY), list(KEY), "left_anti").withColumn("op", F.lit("delete"))
@@ -315,9 +354,10 @@ class Store:
             raise StoreError("invalid", "an edge is not allowed by the schema")
         if edges.where(F.octet_length("caveat_context") > MAX_CAVEAT_CONTEXT).limit(1).count():
             raise StoreError("invalid", "a caveat context is too large")
-        if conflicts(self.snapshot(), edges).limit(1).count():
+        live = self.snapshot()
+        if repeats(edges) or live.limit(1).count() and edges.select(*KEY).join(live.select(*KEY), list(KEY), "left_semi").limit(1).count():
             raise StoreError("already_exists", "an edge exists or comes twice")
-        return self._commit(head, edges.withColumn("op", F.lit("touch")), self._meta())
+        return self._commit(head, edges.withColumn("op", F.lit("touch")), self._meta(), bulk=True)
 
     def export_page(self, cursor: str | None = None, size: int = 1000, **filter_) -> tuple[DataFrame, str | None]:
         """One page of the edges in the order of their texts, and the cursor of the next (None: no more). A cursor pins the revision and the filter."""

@@ -17,9 +17,10 @@ VERSIONED = SCHEMA + ", created_rev bigint, deleted_rev bigint"
 ELLIPSIS, WILDCARD = "...", "*"
 MAX_ID = 1024
 
-_TYPE = r"(?:[a-z][a-z0-9_]{1,61}[a-z0-9]/)*[a-z][a-z0-9_]{1,62}[a-z0-9]"
-_ID = r"[a-zA-Z0-9/_|\-=+]+"
-_REL = r"[a-z][a-z0-9_]{1,62}[a-z0-9]"
+# What follows a name or an id is never a character of it, so no pattern has to give any back: all take what they can and keep it.
+_TYPE = r"(?:[a-z][a-z0-9_]{2,62}+(?<!_)/)*+[a-z][a-z0-9_]{2,63}+(?<!_)"
+_ID = r"[a-zA-Z0-9/_|\-=+]++"
+_REL = r"[a-z][a-z0-9_]{2,63}+(?<!_)"
 #: Groups: resource type, id, relation, subject type, id, relation, caveat name, caveat context, expiration.
 TUPLE = rf"^({_TYPE}):({_ID})#({_REL})@({_TYPE}):({_ID}|\*)(?:#({_REL}|\.\.\.))?(?:\[({_TYPE})(?::(\{{.*?\}}))?\])?(?:\[expiration:([0-9TtZz:.+\-]+)\])?$"
 ONR = rf"^({_TYPE}):({_ID}|\*)(?:#({_REL}|\.\.\.))?$"
