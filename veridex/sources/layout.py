@@ -13,6 +13,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A task that sorts edges holds about so many.
+ROWS_A_TASK = 1_000_000
 ENDS = {"resource": "subject", "subject": "resource"}
 
 
@@ -20,12 +22,17 @@ def bucket(id_: Column, buckets: int) -> Column:
     return F.crc32(id_.cast("binary")) % buckets
 
 
-def write(edges: DataFrame, root: str, buckets: int = 64) -> None:
-    """Writes both layouts below ``root``. ``buckets`` folders a type: as many as keep a folder's files of a reader's size."""
-    for end, other in ENDS.items():
+def write(edges: DataFrame, root: str, buckets: int = 64, ends=tuple(ENDS)) -> None:
+    """Writes the layouts (both, or that of one end) below ``root``. ``buckets`` folders a type: as many as keep a folder's files of a reader's size.
+
+    As many ranges as keep a task's rows in memory: a sort that spills writes its rows again.
+    """
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + edges.count() // ROWS_A_TASK)
+    for end in ends:
+        other = ENDS[end]
         rows = edges.withColumn("bucket", bucket(F.col(f"{end}_id"), buckets).cast("int"))
         order = [f"{end}_type", "bucket", f"{end}_id", f"{other}_type", f"{other}_id"]
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(f"{end}_type", "bucket").parquet(f"{root}/by_{end}")
+        rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy(f"{end}_type", "bucket").parquet(f"{root}/by_{end}")
 
 
 def read(spark: SparkSession, root: str, schema: str, end: str, type_: str, ids, buckets: int = 64) -> DataFrame:
