@@ -3,8 +3,11 @@
 import pytest
 
 from veridex import world
-from veridex.operators import check
+from veridex.operators import check, expand, lookup, subject_sets
+from veridex.operators.check import reachable_plans
+from veridex.plans.compile import compile_schema
 from veridex.plans.schema import ELLIPSIS, parse
+from veridex.sources import layout
 from veridex.sources.tuples import SCHEMA
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +58,29 @@ def test_permissions_of_many_relations(spark, wide):
     items = items.selectExpr("*", "'doc' resource_type", "'one' resource_id", "'user' subject_type", "'...' subject_relation")
     got = {r["item_id"] for r in check.bulk_check(spark.createDataFrame(rows, SCHEMA), schema, items).collect() if r["verdict"] == "member"}
     assert got == {"some/all", "some/last", "every/all"}
+
+
+def test_a_layout_sorts_in_tasks_of_bounded_rows_and_only_the_end_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS_A_TASK", 50)
+    rows = [("doc", f"d{i}", "viewer", "user", f"u{i % 7}", ELLIPSIS, None, None, None) for i in range(1000)]
+    root = f"file://{tmp_path}/l"
+    layout.write(spark.createDataFrame(rows, SCHEMA), root, 2, ends=("resource",))
+    assert len(list(tmp_path.glob("l/by_resource/*/*/*.parquet"))) >= 15 and not (tmp_path / "l/by_subject").exists()
+    assert layout.read(spark, root, SCHEMA, "resource", "doc", ["d3", "d999"], 2).count() == 2
+
+
+def test_sets_are_folded_without_lists(spark):
+    schema = parse("definition user {} definition doc { relation viewer: user | user:* relation banned: user permission view = viewer - banned }")
+    plans = compile_schema(schema)
+    parts = spark.createDataFrame([("doc", "d", "view", 0, "u", True, False)], "rt string, rid string, rel string, leaf int, subject_id string, holds boolean, rest boolean")
+    plan = subject_sets._folded(parts, subject_sets._value(plans, [("doc", "view")]), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_lookups_and_trees_leave_other_relations_edges_unmoved(spark):
+    schema = parse("definition user {} definition doc { relation owner: user relation other: user permission edit = owner permission more = other }")
+    rows = [("doc", "d1", "owner", "user", "u1", ELLIPSIS, None, None, None)] + [("doc", f"x{i}", "other", "user", f"y{i}", ELLIPSIS, None, None, None) for i in range(4000)]
+    edges, got = spark.createDataFrame(rows, SCHEMA), []
+    moved = shuffled(spark, lambda: got.extend(expand.expand(edges, schema, spark.createDataFrame([("doc", "d1")], "resource_type string, resource_id string"), "edit").collect()))
+    assert {r["subjects"] for r in got} >= {"user:u1"} and moved < 1000
+    assert "other" not in lookup._edges(edges, None, reachable_plans(compile_schema(schema), schema, {("doc", "edit")})).select("e_resource_relation").distinct().toPandas()["e_resource_relation"].tolist()
