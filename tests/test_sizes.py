@@ -7,7 +7,7 @@ from veridex.operators import check, expand, lookup, subject_sets
 from veridex.operators.check import reachable_plans
 from veridex.plans.compile import compile_schema
 from veridex.plans.schema import ELLIPSIS, parse
-from veridex.sources import layout
+from veridex.sources import layout, store
 from veridex.sources.tuples import SCHEMA
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,3 +84,17 @@ def test_lookups_and_trees_leave_other_relations_edges_unmoved(spark):
     moved = shuffled(spark, lambda: got.extend(expand.expand(edges, schema, spark.createDataFrame([("doc", "d1")], "resource_type string, resource_id string"), "edit").collect()))
     assert {r["subjects"] for r in got} >= {"user:u1"} and moved < 1000
     assert "other" not in lookup._edges(edges, None, reachable_plans(compile_schema(schema), schema, {("doc", "edit")})).select("e_resource_relation").distinct().toPandas()["e_resource_relation"].tolist()
+
+
+def test_a_read_after_a_bulk_import_moves_only_what_came_later(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.write_schema("definition user {} definition doc { relation viewer: user relation owner: user }")
+    row = lambda i, rel="viewer": ("doc", f"d{i}", rel, "user", f"u{i}", ELLIPSIS, None, None, None)
+    with pytest.raises(store.StoreError, match="already_exists"):
+        s.import_bulk(spark.createDataFrame([row(i % 2999) for i in range(3000)], SCHEMA))
+    first = s.import_bulk(spark.createDataFrame([row(i) for i in range(3000)], SCHEMA))
+    s.write(spark.createDataFrame([("touch", *row(1, "owner"))], "op string, " + SCHEMA))
+    found = []
+    assert shuffled(spark, lambda: found.append(s.snapshot().count())) < 500 and found == [3001]
+    s.write(spark.createDataFrame([("delete", *row(1)), ("touch", *row(2))], "op string, " + SCHEMA))
+    assert s.snapshot().count() == 3000 and s.snapshot(first).count() == 3000 and s.snapshot().where("resource_id = 'd1'").count() == 1
